@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
+from .chat import OP2_SQL, op2_chat_formatting
+from .decontamination import op6_benchmark_decontamination
+from .ngram_join import op1_ngram_jaccard_join
 from .packing import op8_packing
+from .pii import op9_pii
+from .sharding import op7_sharding
+from .toxicity import op10_toxicity
 
-QUERIES = {"op8_packing": op8_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_chat_formatting": op2_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_sharding": op7_sharding,
+    "op8_packing": op8_packing,
+    "op9_pii": op9_pii,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": OP2_SQL}
