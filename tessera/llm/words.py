@@ -118,3 +118,53 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int):
             yield grams(h[a:b], int(b - a))
         else:
             yield np.zeros(0, dtype=U)
+
+
+class Memo:
+    """Numbers by 64-bit hash, open-addressed and vectorised; forgets all beyond `kept` keys."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.values = np.zeros(0, U), np.zeros(0, np.int64)
+        self.slots = np.full(1 << 16, -1, dtype=np.int32)
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        first = len(self.keys)
+        self.keys, self.values = np.concatenate((self.keys, keys)), np.concatenate((self.values, values))
+        if 2 * len(self.keys) > len(self.slots):
+            self.slots, first = np.full(1 << (4 * len(self.keys)).bit_length(), -1, dtype=np.int32), 0
+        i = np.arange(first, len(self.keys), dtype=np.int32)
+        slot = (self.keys[i] & U(len(self.slots) - 1)).astype(np.int64)
+        while len(i):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = i[free]
+            left = self.slots[slot] != i
+            i, slot = i[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place, or -1."""
+        slot = (h & U(len(self.slots) - 1)).astype(np.int64)
+        out = self.slots[slot]
+        if not len(self.keys):
+            return out
+        bad = np.flatnonzero((self.keys[out] != h) & (out >= 0))
+        while len(bad):
+            slot[bad] = (slot[bad] + 1) & (len(self.slots) - 1)
+            out[bad] = self.slots[slot[bad]]
+            bad = bad[(out[bad] >= 0) & (self.keys[out[bad]] != h[bad])]
+        return out
+
+    def get(self, h: np.ndarray, make) -> np.ndarray:
+        """Each hash's number; make(indexes) gives the numbers of hashes that are new."""
+        if len(self.keys) > self.kept:
+            self.forget()
+        place = self.find(h)
+        unknown = np.flatnonzero(place < 0)
+        if len(unknown):
+            new, first = np.unique(h[unknown], return_index=True)
+            self.put(new, make(unknown[first]))
+            place[unknown] = self.find(h[unknown])
+        return self.values[place]
