@@ -3,21 +3,23 @@
 Documents link when the Jaccard similarity of their sets of k-word shingles reaches num/den; the
 result is each document's component. All steps are exact.
 
-1. `profile`: one scan gives each document's set size and set hash, and a count sketch of all
-   shingles (2^18 counters, 1 MB). Documents with equal sets are one class from here on, so groups
-   of copies, however large, cost one row.
+1. `profile`: one scan gives each document's set size, set hash and token bitmap (its shingles
+   hashed into a power of two of bits, one to two a shingle), and a count sketch of all shingles.
+   Documents with equal sets are one class from here on, so groups of copies, however large, cost
+   one row.
 2. `postings`: two sets that link share a shingle among the (1 - t) n + 1 first ones of each, in
    any common order. The order puts shingles first that the sketch calls rare, so a passage that
    many documents share rarely is in a prefix. Prefix shingles travel packed (16 bytes each, one
    row a bucket and task); a bucket keeps the shingles that more than one class has.
-3. Stars: every class is compared with the smallest class of each of its shingles; what links is
-   merged. That settles a large group of near copies in linear work.
+3. Stars: every class is compared with the smallest class of each of its shingles, first by bitmap,
+   then by set; what links is merged. That settles a large group of near copies in linear work.
 4. What is left are shingles whose classes are not in one component yet; shingles of equal
    postings count once. Their classes meet in blocks: one block a shingle if it is small, else
    blocks of the leader's component against all others, and pairs of blocks among the others.
-   In a block a signature tree (OR-combined bitmaps and size ranges, fan-out 8) is traversed
-   against itself, pruning node pairs by the largest overlap they can have; surviving pairs are
-   compared exactly unless their components have met already.
+   In a block signature trees (OR-combined bitmaps and size ranges, fan-out 8) are traversed
+   against each other, pruning node pairs by the largest overlap they can have. Pairs that survive
+   are compared by set; a block with more pairs than classes compares them in place, unless
+   their components have met already, so that no group sends out all its pairs.
 
 Hashes have 64 bits; two different sets count as equal if their hashes agree (about n^2 / 2^65).
 
@@ -28,6 +30,7 @@ repeated rows link as copies do; an empty table gives no rows; other columns are
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +43,12 @@ from . import common
 from .components import components
 from .words import U, mix, shingles, words
 
-CELLS = 1 << 18
-CELL_ROW = 1 << 12
+CELLS = 1 << 22
+CELL_ROW = 1 << 14
 CHUNK = 2 << 20  # bytes of text hashed at a time
 FLUSH = 1 << 21  # prefix shingles that a task holds
 BLOCK = 256  # classes of a block
-BITS = 512
+NARROW, WIDE = 64, 1 << 15  # bits of a bitmap
 FAN = 8
 
 
@@ -67,25 +70,36 @@ def identity(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s).sum(dtype=U) + U(len(s))], dtype=U)).view(np.int64)[0])
 
 
+def width(n: int) -> int:
+    return min(WIDE, max(NARROW, 1 << n.bit_length()))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    bits = np.zeros(width(len(s)), dtype=bool)
+    bits[(s & U(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def profiled(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("bits", pa.binary()), ("cell", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CELLS, dtype=np.int64)
+        counts = np.zeros(CELLS, dtype=np.int32)
         for batch in batches:
             for docs, texts in parts(batch):
-                n, h, seen = [], [], []
+                n, h, bits = [], [], []
                 for s in shingles(*words(texts), k):
                     n.append(len(s))
                     h.append(identity(s) if len(s) else None)
-                    seen.append(s)
-                counts += np.bincount((np.concatenate(seen) & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                    bits.append(bitmap(s) if len(s) else None)
+                    counts[(s & U(CELLS - 1)).astype(np.int64)] += 1  # within a set two shingles of a cell count once
                 nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(h, pa.int64()), *nothing], schema=schema)
+                yield pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(bits, pa.binary()), *nothing], schema=schema)
         if counts.any():
             rows = range(CELLS // CELL_ROW)
-            sums = [counts[r * CELL_ROW : (r + 1) * CELL_ROW].tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), pa.int64()) for _ in range(3)), pa.array(rows, pa.int32()), pa.array(sums, pa.binary())], schema=schema)
+            sums = [zlib.compress(counts[r * CELL_ROW : (r + 1) * CELL_ROW].tobytes(), 1) for r in rows]
+            nothing = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(rows, pa.int32()), pa.array(sums, pa.binary())], schema=schema)
 
     return run
 
@@ -94,19 +108,32 @@ def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            total[cell] = total.get(cell, 0) + np.frombuffer(counts, dtype=np.int64)
+            total[cell] = total.get(cell, 0) + np.frombuffer(zlib.decompress(counts), dtype=np.int32).astype(np.int64)
     if total:
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(total, pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"cell": pa.array(total, pa.int32()), "counts": pa.array([v.tobytes() for v in total.values()], pa.binary()), "n": pa.array([int(v.sum()) for v in total.values()], pa.int64())})
+
+
+def levels(mean: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ranks = []
+            for counts in batch.column(1).to_pylist():
+                times = np.frombuffer(counts, dtype=np.int64) / mean
+                ranks.append(np.clip(8 + np.floor(4 * np.log2(np.maximum(times, 1e-9))), 0, 63).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_pydict({"cell": batch.column(0), "ranks": pa.array(ranks, pa.binary())})
+
+    return run
 
 
 def commonness(profile: DataFrame) -> np.ndarray:
-    """For each cell of the sketch 0 if its shingles are no more frequent than usual, else a rank that grows with the count."""
-    counts = np.zeros(CELLS, dtype=np.int64)
-    cells = profile.where("cell is not null").select("cell", "counts").repartition(8, "cell").mapInArrow(summed, "cell int, counts binary")
-    for row in cells.collect():  # CELLS / CELL_ROW rows, 2 MB
-        counts[row["cell"] * CELL_ROW : (row["cell"] + 1) * CELL_ROW] = np.frombuffer(row["counts"], dtype=np.int64)
-    times = counts / max(1.0, counts.mean())
-    return np.clip(np.floor(2 * np.log2(np.maximum(times, 1) / 1.5)) + 1, 0, 40).astype(np.uint8) * (times > 1.5)
+    """For each cell of the sketch a rank from 0 to 63 that grows with its count."""
+    cells = profile.where("cell is not null").select("cell", "counts").repartition(8, "cell").mapInArrow(summed, "cell int, counts binary, n long")
+    cells = common.publish(cells, "sketch")
+    mean = max(1.0, (cells.agg(F.sum("n").alias("n")).first()["n"] or 0) / CELLS)
+    ranks = np.zeros(CELLS, dtype=np.uint8)
+    for row in cells.mapInArrow(levels(mean), "cell int, ranks binary").collect():  # CELLS bytes
+        ranks[row["cell"] * CELL_ROW : (row["cell"] + 1) * CELL_ROW] = np.frombuffer(row["ranks"], dtype=np.uint8)
+    return ranks
 
 
 def prefixed(k: int, num: int, den: int, rank: np.ndarray, buckets: int):
@@ -254,43 +281,86 @@ def starred(num: int, den: int):
     return run
 
 
+def near(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -> bool:
+    """False only if two sets of sizes n and m cannot link by their bitmaps."""
+    if den * min(n, m) < num * max(n, m):
+        return False
+    a, b = (fold(a, len(b)), b) if len(a) > len(b) else (a, fold(b, len(a)))
+    ones_a, ones_b = int(np.bitwise_count(a).sum()), int(np.bitwise_count(b).sum())
+    most = min(int(np.bitwise_count(a & b).sum()) + min(n - ones_a, m - ones_b), n, m)
+    return (den + num) * most >= num * (n + m)
+
+
+def fold(bits: np.ndarray, words_: int) -> np.ndarray:
+    """A bitmap (or rows of them) of fewer bits: shingles that share the lower bits share a bit."""
+    while bits.shape[-1] > words_:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
 class Tree:
-    """A signature tree over sets: leaves are the sets, an inner node ORs its children's bitmaps and spans their sizes."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        bitmap = np.zeros((len(sets), BITS), dtype=bool)
-        for i, s in enumerate(sets):
-            bitmap[i, (s & U(BITS - 1)).astype(np.int64)] = True
-        spare = sizes - bitmap.sum(axis=1)  # shingles beyond the first of each bit
-        self.levels = [(np.packbits(bitmap, axis=1).view(U), sizes, sizes, spare)]
+    """A signature tree: leaves are sets, an inner node ORs its children's bitmaps and spans their sizes."""
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+        spare = sizes - np.bitwise_count(bits).sum(axis=1)  # shingles beyond the first of each bit
+        self.levels = [(bits, sizes, sizes, spare)]
         while len(self.levels[-1][1]) > 1:
             bits, low, high, spare = self.levels[-1]
             at = np.arange(0, len(low), FAN)
             self.levels.append((np.bitwise_or.reduceat(bits, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
 
-    def pairs(self, num: int, den: int) -> np.ndarray:
-        """Pairs i < j of sets that may link, found by traversing the tree against itself."""
-        pairs = np.zeros((1, 2), dtype=np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            bits, low, high, spare = self.levels[level]
-            if level < len(self.levels) - 1:
-                kid = np.arange(FAN)
-                pairs = np.stack((np.repeat(pairs[:, 0:1] * FAN + kid, FAN, axis=1).ravel(), np.tile(pairs[:, 1:2] * FAN + kid, (1, FAN)).ravel()), axis=1)
-                pairs = pairs[(pairs[:, 0] <= pairs[:, 1]) & (pairs[:, 1] < len(low))]
-            i, j = pairs[:, 0], pairs[:, 1]
-            keep = (den * high[i] >= num * low[j]) & (den * high[j] >= num * low[i])
-            pairs, i, j = pairs[keep], i[keep], j[keep]
-            most = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) + np.minimum(spare[i], spare[j])
-            most = np.minimum(most, np.minimum(high[i], high[j]))
-            pairs = pairs[(den + num) * most >= num * (low[i] + low[j])]
-        return pairs[pairs[:, 0] < pairs[:, 1]]
-
-
-def joined(sets: list[np.ndarray], hs: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Links (h, h) that connect whatever the links between these sets connect beyond `comps`."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]).bit_length(), int(sets[i][0]), len(sets[i])))
-    sets, hs, comps = [sets[i] for i in order], [hs[i] for i in order], [comps[i] for i in order]
+
+def traversed(a: Tree, b: Tree, num: int, den: int) -> np.ndarray:
+    """Pairs (leaf of a, leaf of b) that may link: both trees are descended together."""
+    pairs = np.zeros((1, 2), dtype=np.int64)
+    down_a, down_b = len(a.levels) - 1, len(b.levels) - 1
+    kid = np.arange(FAN)
+    while True:
+        bits_a, low_a, high_a, spare_a = a.levels[down_a]
+        bits_b, low_b, high_b, spare_b = b.levels[down_b]
+        pairs = pairs[(pairs[:, 0] < len(low_a)) & (pairs[:, 1] < len(low_b))]
+        i, j = pairs[:, 0], pairs[:, 1]
+        keep = (den * high_a[i] >= num * low_b[j]) & (den * high_b[j] >= num * low_a[i])
+        pairs, i, j = pairs[keep], i[keep], j[keep]
+        most = np.bitwise_count(bits_a[i] & bits_b[j]).sum(axis=1) + np.minimum(spare_a[i], spare_b[j])
+        most = np.minimum(most, np.minimum(high_a[i], high_b[j]))
+        pairs = pairs[(den + num) * most >= num * (low_a[i] + low_b[j])]
+        if not down_a and not down_b:
+            return pairs
+        if down_a >= down_b:
+            down_a -= 1
+            pairs = np.stack(((pairs[:, 0:1] * FAN + kid).ravel(), np.repeat(pairs[:, 1], FAN)), axis=1)
+        else:
+            down_b -= 1
+            pairs = np.stack((np.repeat(pairs[:, 0], FAN), (pairs[:, 1:2] * FAN + kid).ravel()), axis=1)
+
+
+def candidates(bits: list[np.ndarray], sizes: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of different components that may link."""
+    if len(bits) <= 6:
+        return [(i, j) for j in range(len(bits)) for i in range(j) if comps[i] != comps[j] and near(bits[i], sizes[i], bits[j], sizes[j], num, den)]
+    by: dict[int, list[int]] = {}
+    for i, b in enumerate(bits):
+        by.setdefault(len(b), []).append(i)
+    rows = {w: sorted(own, key=lambda i: (sizes[i] // 4, int(bits[i][0]))) for w, own in by.items()}
+    stacked = {w: (np.stack([bits[i] for i in own]), np.array([sizes[i] for i in own])) for w, own in rows.items()}
+    comp = np.array(comps)
+    found: list[tuple[int, int]] = []
+    for w, own in rows.items():
+        tree = Tree(*stacked[w])
+        for v in (w, 2 * w, 4 * w):  # sets that link differ in size by less than a factor of 4
+            if v in rows:
+                other = tree if v == w else Tree(fold(stacked[v][0], w), stacked[v][1])
+                p = traversed(tree, other, num, den)
+                i, j = np.array(own)[p[:, 0]], np.array(rows[v])[p[:, 1]]
+                keep = (comp[i] != comp[j]) & ((i < j) | (v != w))
+                found += zip(i[keep].tolist(), j[keep].tolist(), strict=True)
+    return found
+
+
+def joined(pairs: list[tuple[int, int]], sets: list[np.ndarray], hs: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Links (h, h) that connect whatever the links among these pairs connect beyond `comps`."""
     up: dict[int, int] = {c: c for c in comps}
 
     def root(c: int) -> int:
@@ -299,9 +369,7 @@ def joined(sets: list[np.ndarray], hs: list[int], comps: list[int], num: int, de
         return c
 
     found: list[tuple[int, int]] = []
-    if len(up) < 2:
-        return found
-    for i, j in Tree(sets).pairs(num, den).tolist():
+    for i, j in pairs:
         a, b = root(comps[i]), root(comps[j])
         if a != b and links(sets[i], sets[j], num, den):
             up[max(a, b)] = min(a, b)
@@ -309,57 +377,104 @@ def joined(sets: list[np.ndarray], hs: list[int], comps: list[int], num: int, de
     return found
 
 
-def blocked(num: int, den: int):
-    """Rows sorted by (token, i, j): (token, i, j, h, comp, s) -> links."""
+BLOCK_ROWS = "u long, v long, token long, i int, j int"
+BLOCK_SCHEMA = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("token", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
+
+
+def blocked(num: int, den: int, with_sets: bool):
+    """Rows sorted by (token, i, j): (token, i, j, h, comp, n, bits[, s]).
+
+    Without sets: candidate pairs (u, v), or the block's key where there are more pairs than classes.
+    With sets: links (u, v).
+    """
 
     def groups(batches: Iterator[pa.RecordBatch]):
         key, rows = None, []
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
-            for k, h, c, s in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
+            columns = [batch.column(c).to_pylist() for c in range(3, batch.num_columns)]
+            for k, *row in zip(keys, *columns, strict=True):
                 if k != key and rows:
-                    yield rows
+                    yield key, rows
                     rows = []
                 key = k
-                rows.append((h, c, np.frombuffer(s.as_py(), dtype=U)))
+                rows.append(row)
         if rows:
-            yield rows
+            yield key, rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for key, rows in groups(batches):
+            hs, comps, sizes = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+            if len(set(comps)) > 1:
+                pairs = candidates([np.frombuffer(r[3], dtype=U) for r in rows], sizes, comps, num, den)
+                if with_sets:
+                    found += [(u, v, None, None, None) for u, v in joined(pairs, [np.frombuffer(r[4], dtype=U) for r in rows], hs, comps, num, den)]
+                elif len(pairs) > len(rows):
+                    found.append((None, None, *key))
+                else:
+                    found += [(hs[a], hs[b], None, None, None) for a, b in pairs]
+            if len(found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
+
+    return run
+
+
+def hinted(num: int, den: int):
+    """(u, v, n, bits, m, other bits) -> the pairs that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for rows in groups(batches):
-            found += joined([s for _, _, s in rows], [h for h, _, _ in rows], [c for _, c, _ in rows], num, den)
-        yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+        for batch in batches:
+            a, n, b, m = (batch.column(c).to_pylist() for c in (3, 2, 5, 4))
+            keep = [near(np.frombuffer(x, dtype=U), i, np.frombuffer(y, dtype=U), j, num, den) for x, i, y, j in zip(a, n, b, m, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def fetched_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """wanted(h, rep) -> (h, s): one scan of the documents, of which a Bloom filter lets few through."""
+    wanted = common.publish(wanted, "wanted")
+    count = wanted.count()
+    have = bloom(wanted.select("rep"), min(1 << 26, max(1 << 19, 1 << (16 * count).bit_length())))
+    sets = docs.mapInArrow(fetched(k, have), "doc_id long, h long, n long, s binary").withColumnRenamed("h", "_h")
+    sets = sets.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.col("_h") == F.col("h"))).select("h", "s")
+    return common.publish(sets.dropDuplicates(["h"]), "sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, active: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Of pairs(u, v), those that link."""
+    pairs = common.publish(pairs, "pairs")
+    ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
+    sets = fetched_sets(docs, ends.join(active, "h").select("h", "rep"), k)
+    a, b = sets.toDF("u", "s"), sets.toDF("v", "s2")
+    return common.publish(pairs.join(a, "u").join(b, "v").select("u", "v", "s", "s2").mapInArrow(starred(num, den), "u long, v long"), "linked")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link at a Jaccard similarity of num/den or more."""
     spark = docs.sparkSession
     n_parts = common.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.publish(docs.mapInArrow(profiled(k), "doc_id long, n long, h long, cell int, counts binary"), "profile")
+    rows = common.publish(docs.mapInArrow(profiled(k), "doc_id long, n long, h long, bits binary, cell int, counts binary"), "profile")
     rank = commonness(rows)
     profile = rows.where("doc_id is not null").select("doc_id", "n", "h")
 
     packed = docs.mapInArrow(prefixed(k, num, den, rank, 4 * n_parts), "bucket int, tokens binary, hs binary")
     postings = common.publish(packed.repartition(n_parts, "bucket").mapInArrow(shared, "token long, h long, leader long"), "postings")
     classes = profile.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("rep"))
-
-    active = common.publish(postings.select("h").distinct().join(classes, "h"), "active")
-    count = active.count()
-    have = bloom(active.select("rep"), min(1 << 26, max(1 << 19, 1 << (16 * count).bit_length())))
-    sets = docs.mapInArrow(fetched(k, have), "doc_id long, h long, n long, s binary")
-    sets = sets.join(active, (sets["doc_id"] == active["rep"]) & (sets["h"] == active["h"])).select(active["h"], "n", "s").dropDuplicates(["h"])
-    sets = common.publish(sets, "sets")
+    active = postings.select("h").distinct().join(classes, "h").withColumnRenamed("h", "_h")
+    active = rows.join(active, (F.col("doc_id") == F.col("rep")) & (F.col("h") == F.col("_h"))).select("h", "rep", "n", "bits").dropDuplicates(["h"])
+    active = common.publish(active, "active")
+    other = active.select(F.col("h").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
+    verify = lambda pairs: verified(docs, pairs, active, k, num, den)
 
     pairs = postings.where("h <> leader").select("h", "leader").distinct()
-    a, b = sets.toDF("h", "n", "s"), sets.toDF("leader", "n2", "s2")
-    near = (F.least("n", "n2") * den >= F.greatest("n", "n2") * num)
-    sized = pairs.join(a.select("h", "n"), "h").join(b.select("leader", "n2"), "leader").where(near).select("h", "leader")
-    stars = sized.join(a, "h").join(b, "leader").select("h", "leader", "s", "s2").mapInArrow(starred(num, den), "u long, v long")
-    stars = common.publish(stars, "stars")
+    hinted_ = pairs.join(active.select("h", "n", "bits"), "h").join(other, "leader").select("h", "leader", "n", "bits", "m", "bits2")
+    stars = verify(hinted_.mapInArrow(hinted(num, den), "u long, v long"))
     met = components(stars)
 
     # Shingles whose classes are not all in one component.
@@ -373,24 +488,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.bit_xor(F.xxhash64("h")).alias("same1"),
         F.bit_xor(F.xxhash64("h", F.lit(1))).alias("same2"),
     )
-    tokens = tokens.where("u > 0").groupBy("x", "u", "same1", "same2").agg(F.min("token").alias("token"))
+    # Two classes of which one leads have been compared already.
+    tokens = tokens.where("u > 1 or (u = 1 and x > 1)").groupBy("x", "u", "same1", "same2").agg(F.min("token").alias("token"))
     nx, nu = F.ceil(F.col("x") / BLOCK).cast("int"), F.ceil(F.col("u") / BLOCK).cast("int")
     tokens = tokens.select("token", "x", "u", nx.alias("nx"), nu.alias("nu"))
-    open_ = known.join(tokens, "token")
     small = (F.col("x") + F.col("u")) <= BLOCK
     mine = F.pmod(F.xxhash64("h", "token"), F.when(F.col("led"), F.col("nx")).otherwise(F.col("nu"))).cast("int")
-    open_ = open_.withColumn("mine", mine)
+    open_ = known.join(tokens, "token").withColumn("mine", mine)
     zero = F.lit(0)
     key = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
-    # i = -1 - block of the leader's component against all others; i <= j among the others.
-    own = F.array(key(-1 - F.col("mine"), zero))
-    with_x = F.transform(F.sequence(zero, F.col("nx") - 1), lambda t: key(-1 - t, zero))
+    # i = -1 - a block of the leader's component, j a block of the others; or i <= j, two blocks of the others.
+    own = F.transform(F.sequence(zero, F.col("nu") - 1), lambda t: key(-1 - F.col("mine"), t))
+    with_x = F.transform(F.sequence(zero, F.col("nx") - 1), lambda t: key(-1 - t, F.col("mine")))
     with_u = F.transform(F.sequence(zero, F.col("nu") - 1), lambda t: key(F.least(F.col("mine"), t), F.greatest(F.col("mine"), t)))
     places = F.when(small, F.array(key(zero, zero))).when(F.col("led"), own).otherwise(F.concat(with_x, with_u))
-    placed = open_.withColumn("at", F.explode(places)).select("token", "at.i", "at.j", "h", "comp")
-    met_sets = placed.join(sets.select("h", "s"), "h").select("token", "i", "j", "h", "comp", "s")
-    more = met_sets.repartition(n_parts, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(blocked(num, den), "u long, v long")
-    more = common.publish(more, "more")
+    placed = common.publish(open_.withColumn("at", F.explode(places)).select("token", "at.i", "at.j", "h", "comp"), "placed")
+    at = ["token", "i", "j"]
+    sides = placed.join(active.select("h", "n", "bits"), "h").select(*at, "h", "comp", "n", "bits")
+    tried = sides.repartition(n_parts, *at).sortWithinPartitions(*at).mapInArrow(blocked(num, den, False), BLOCK_ROWS)
+    tried = common.publish(tried, "tried")
+    more = verify(tried.where("u is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    dense = tried.where("u is null").select(*at)
+    if not dense.isEmpty():
+        inside = common.publish(placed.join(dense, at), "dense")
+        sets = fetched_sets(docs, inside.select("h").distinct().join(active, "h").select("h", "rep"), k)
+        full = inside.join(active.select("h", "n", "bits"), "h").join(sets, "h").select(*at, "h", "comp", "n", "bits", "s")
+        links_ = full.repartition(n_parts, *at).sortWithinPartitions(*at).mapInArrow(blocked(num, den, True), BLOCK_ROWS).select("u", "v")
+        more = more.union(common.publish(links_, "links"))
 
     final = components(stars.union(more))
     named = classes.join(final.select(F.col("node").alias("h"), "comp"), "h").select("h", "rep", "comp")
