@@ -190,7 +190,7 @@ def tiled(docs: DataFrame, benchmark: DataFrame, mml: int = MML, threshold: floa
     if blocks == 1:
         return out
     names = ["contaminated", "item_id", "matched_words", "item_words", "coverage"]
-    order = F.struct("coverage", -F.col("item_id"), *names)
+    order = F.struct(F.col("coverage").alias("_c"), (-F.col("item_id")).alias("_i"), *names)
     return out.groupBy("doc_id").agg(F.max(order).alias("b")).select("doc_id", *(f"b.{c}" for c in names))
 
 
