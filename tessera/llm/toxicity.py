@@ -20,7 +20,6 @@ go to the smaller example; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -39,6 +38,7 @@ EVIDENCE = 20.0  # least likelihood ratio of a term
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 LANES = 64
+TOGETHER = 16  # blocks that are scored at once
 
 
 def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +90,17 @@ class Index:
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple], k: int):
         self.terms, self.idf, self.ids, self.labels, self.k = terms, idf, ids, labels, k
         n, self.blocks = len(ids), -(-len(ids) // LANES)
-        dense: dict[int, list[tuple[int, float]]] = {}
         self.vectors = [self.weigh(t, c) for t, c in vectors]
-        for e, (t, w) in enumerate(self.vectors):
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                dense.setdefault(term, []).append((e, weight))
+        sizes = [len(t) for t, _ in self.vectors]
+        term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(n), sizes)
+        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        # Postings lie by term, then example; ends[t, b] is where block b of term t starts.
+        self.ends = np.searchsorted(term * (n + LANES) + self.example, np.arange(len(terms))[:, None] * (n + LANES) + np.arange(self.blocks + 1) * LANES)
         self.most = np.zeros((len(terms), self.blocks))
-        self.lists: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for term, posting in dense.items():
-            e, w = np.array([p[0] for p in posting]), np.array([p[1] for p in posting])
-            np.maximum.at(self.most[term], e // LANES, w)
-            self.lists[term] = (e, w, np.searchsorted(e, np.arange(self.blocks + 1) * LANES))
+        np.maximum.at(self.most, (term, self.example // LANES), self.weight)
         self.n = n
         self.seen: dict[bytes, tuple[float, int]] = {}
         self.slope, self.shift = 1.0, 0.0
@@ -113,26 +113,26 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, exactly; ties to the smaller example."""
-        bound = (w[:, None] * self.most[t]).sum(axis=0)
-        heap: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(heap) == self.k and bound[b] < heap[0][0] - 1e-9):
+        bound = w @ self.most[t]
+        blocks = np.argsort(-bound, kind="stable")
+        blocks = blocks[: int((bound > 0).sum())]
+        best, rows = np.zeros(0), np.zeros(0, np.int64)
+        for a in range(0, len(blocks), TOGETHER):
+            some = blocks[a : a + TOGETHER]
+            if len(best) == self.k:
+                some = some[bound[some] >= best[-1] - 1e-9]  # the others cannot beat the k-th neighbour
+            if not len(some):
                 break
-            score = np.zeros(LANES)
-            for term, weight in zip(t.tolist(), w.tolist(), strict=True):
-                e, ws, ends = self.lists[term] if term in self.lists else (None, None, None)
-                if e is not None:
-                    i, j = ends[b], ends[b + 1]
-                    score[e[i:j] - b * LANES] += weight * ws[i:j]
-            for lane in np.flatnonzero(score > 0).tolist():
-                e = b * LANES + lane
-                if e != skip:
-                    item = (round(float(score[lane]), 12), -e)
-                    if len(heap) < self.k:
-                        heapq.heappush(heap, item)
-                    elif item > heap[0]:
-                        heapq.heapreplace(heap, item)
-        return sorted(heap, reverse=True)
+            start, size = self.ends[t][:, some], self.ends[t][:, some + 1] - self.ends[t][:, some]
+            flat = size.ravel()
+            at = np.repeat(start.ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
+            near, place = np.unique(self.example[at], return_inverse=True)
+            score = np.round(np.bincount(place, weights=np.repeat(np.repeat(w, len(some)), flat) * self.weight[at], minlength=len(near)), 12)
+            keep = near != skip
+            best, rows = np.concatenate((best, score[keep])), np.concatenate((rows, near[keep]))
+            order = np.lexsort((rows, -best))[: self.k]
+            best, rows = best[order], rows[order]
+        return list(zip(best.tolist(), (-rows).tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         if not found:
