@@ -299,3 +299,68 @@ def feature_cache(spark: SparkSession, d: str) -> DataFrame:
     whole = F.concat(unit("c0"), unit("c1"), unit("c2"), F.array_repeat(F.lit(0.0), 64), F.array(F.lit(1.0), F.lit(1.0), F.lit(0.75)))
     rows = X.planes(spark, d).select("block_id", F.posexplode(whole).alias("i", "v"))
     return rows.select("block_id", F.col("i").cast("long").alias("i"), r6(F.col("v")).alias("v"))
+
+
+@query("q_block_search")
+def block_search(spark: SparkSession, d: str) -> DataFrame:
+    """The two cheapest settings of each block, in the first scan order (a mode of the search)."""
+    from ..operators.block_search import searched
+
+    return searched(X.planes(spark, d), [0])
+
+
+# Orientation: gradients of the summed components under 3x3 weights, edges repeated.
+
+WEIGHTS = [(dy, dx, gx, gy) for dy, row in zip((-1, 0, 1), ((1, 0, -1), (2, 0, -2), (1, 0, -1))) for dx, gx, gy in zip((-1, 0, 1), row, ((1, 2, 1), (0, 0, 0), (-1, -2, -1))[dy + 1])]
+
+
+def near_sql(dy: int, dx: int) -> str:
+    return f"m[greatest(0, least(7, i // 8 + ({dy}))) * 8 + greatest(0, least(7, i % 8 + ({dx}))) + 1]"
+
+
+GX_SQL = " + ".join(f"({gx}) * {near_sql(dy, dx)}" for dy, dx, gx, _ in WEIGHTS if gx)
+GY_SQL = " + ".join(f"({gy}) * {near_sql(dy, dx)}" for dy, dx, _, gy in WEIGHTS if gy)
+
+
+@query(
+    "q_orientation_features",
+    f"""{PLANES}, m AS (SELECT block_id, list_transform({R64}, lambda i: c0[i + 1] + c1[i + 1] + c2[i + 1]) AS m FROM planes), p AS (SELECT block_id, m, unnest({R64}) AS i FROM m),
+    g AS (SELECT block_id, CAST({GX_SQL} AS DOUBLE) AS gx, CAST({GY_SQL} AS DOUBLE) AS gy FROM p),
+    o AS (SELECT block_id, gx, gy, sqrt(gx * gx + gy * gy) AS mag, greatest(0, least(7, floor((atan2(gy, gx) + pi()) * (4 / pi())))) AS bin FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY mag) AS r, avg(mag) OVER (PARTITION BY block_id) AS mean FROM o)
+    SELECT block_id, {', '.join(f'round(CASE WHEN sum(mag) > 0 THEN sum(CASE WHEN bin = {k} THEN mag ELSE 0 END) / sum(mag) ELSE 0 END, 6) AS bin{k}' for k in range(8))},
+      round(avg(mag), 6) AS mean, round(max(CASE WHEN r = 60 THEN mag END), 6) AS p95, round(avg(CASE WHEN mag > 1.5 * mean THEN 1.0 ELSE 0.0 END), 6) AS edges,
+      round((sum(abs(gx)) - sum(abs(gy))) / (sum(abs(gx)) + sum(abs(gy)) + 1e-6), 6) + 0.0 AS balance,
+      round(sum(CASE WHEN r <= 16 THEN mag ELSE 0 END) / 16 / (sum(CASE WHEN r > 48 THEN mag ELSE 0 END) / 16 + 1e-6), 6) AS low_high
+    FROM r GROUP BY block_id""",
+)
+def orientation(spark: SparkSession, d: str) -> DataFrame:
+    """Histogram of directions weighted by strength, mean, 95th percentile, edge share, balance, low to high ratio; all in the row."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    clamp = lambda v: F.greatest(F.lit(0), F.least(F.lit(7), v))
+
+    def gradient(i: Column, which: int) -> Column:
+        parts = [w[2 + which] * F.get("m", (clamp(F.floor(i / 8) + w[0]) * 8 + clamp(i % 8 + w[1])).cast("int")) for w in WEIGHTS if w[2 + which]]
+        return sum(parts[1:], parts[0]).cast("double")
+
+    places = F.sequence(F.lit(0), F.lit(63))
+    rows = X.planes(spark, d).select("block_id", F.transform(F.arrays_zip("c0", "c1", "c2"), lambda p: (p["c0"] + p["c1"] + p["c2"]).cast("long")).alias("m"))
+    rows = rows.select("block_id", F.transform(places, lambda i: F.struct(gradient(i, 0).alias("gx"), gradient(i, 1).alias("gy"))).alias("g"))
+    rows = rows.select("block_id", F.transform("g", lambda g: F.struct(g["gx"].alias("gx"), g["gy"].alias("gy"), F.sqrt(g["gx"] * g["gx"] + g["gy"] * g["gy"]).alias("mag"), clamp(F.floor((F.atan2(g["gy"], g["gx"]) + F.pi()) * (4 / F.pi()))).alias("bin"))).alias("g"))
+    rows = rows.withColumn("mags", F.array_sort(F.transform("g", lambda g: g["mag"]))).withColumn("sum", total("mags"))
+
+    def share(k: int) -> Column:
+        mine = total(F.transform("g", lambda g: F.when(g["bin"] == k, g["mag"]).otherwise(0.0)))
+        return F.when(F.col("sum") > 0, mine / F.col("sum")).otherwise(0.0)
+
+    mean = F.col("sum") / 64
+    h, v = total(F.transform("g", lambda g: F.abs(g["gx"]))), total(F.transform("g", lambda g: F.abs(g["gy"])))
+    return rows.select(
+        "block_id",
+        *(r6(share(k)).alias(f"bin{k}") for k in range(8)),
+        r6(mean).alias("mean"),
+        r6(F.get("mags", F.lit(59))).alias("p95"),
+        r6(F.size(F.filter("mags", lambda m: m > 1.5 * mean)) / 64).alias("edges"),
+        (r6((h - v) / (h + v + 1e-6)) + F.lit(0.0)).alias("balance"),
+        r6(total(F.slice("mags", 1, 16)) / 16 / (total(F.slice("mags", 49, 16)) / 16 + 1e-6)).alias("low_high"),
+    )
