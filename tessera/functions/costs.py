@@ -127,3 +127,16 @@ def row_route(kind: str, component: str, interleaved: str) -> Column:
     """The table row of a component: kind 0 plain, 1 run-length; alpha shares the first component's row."""
     k, c = F.col(kind), F.col(component)
     return F.when(F.col(interleaved) == 1, 6 + k).when(c.isin(0, 3), 3 * k).otherwise(3 * k + c).cast("long")
+
+
+def plain_states(values: Column, row: int, table: list[tuple[int, int, list[int]]] = DEFAULT) -> Column:
+    """At each value of the plain fold: (mean without fraction, bit width of the value, value)."""
+    rise, fall, _ = table[row]
+
+    def step(s: Column, v: Column) -> Column:
+        m = S.zigzag(v)
+        seen = F.struct(F.floor(s["a"] / 16).alias("mean"), S.bit_width(m).alias("width"), m.alias("m"))
+        return F.struct(S.mixed(s["a"], m, rise, fall).alias("a"), F.concat(s["out"], F.array(seen)).alias("out"))
+
+    empty = F.array().cast("array<struct<mean:bigint,width:bigint,m:bigint>>")
+    return F.aggregate(values, F.struct(F.lit(0).cast("long").alias("a"), empty.alias("out")), step)["out"]
