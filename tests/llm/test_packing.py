@@ -63,6 +63,11 @@ def test_patterns_serve_the_demand(demand):
         for c, k in pattern.items():
             got[c] = got.get(c, 0) + k * times
     assert got == {c: n for c, n in demand.items() if n}
-    least = -(-sum(c * n for c, n in demand.items()) // 32)
-    big = sum(n for c, n in demand.items() if c > 16)
-    assert sum(t for _, t in used) <= 1.25 * max(least, big) + len(demand) + 1
+    rooms: list[int] = []
+    for c in sorted((c for c, n in demand.items() for _ in range(n)), reverse=True):
+        i = next((i for i, room in enumerate(rooms) if room >= c), None)
+        if i is None:
+            rooms.append(32 - c)
+        else:
+            rooms[i] -= c
+    assert sum(t for _, t in used) <= len(rooms) + len(demand)
