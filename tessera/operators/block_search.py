@@ -39,18 +39,27 @@ def half(v: np.ndarray) -> np.ndarray:
     return np.sign(v) * (np.abs(v) // 2)
 
 
-def residuals(px: np.ndarray, predictor: int) -> np.ndarray:
-    """Blocks (n, components, 64) less what the predictor makes of the left and upper neighbours."""
-    n, c, _ = px.shape
-    padded = np.zeros((n, c, SIDE + 1, SIDE + 2), np.int64)
-    padded[:, :, 1:, 1:-1] = px.reshape(n, c, SIDE, SIDE)
-    left, up, corner, right = padded[:, :, 1:, :-2], padded[:, :, :-1, 1:-1], padded[:, :, :-1, :-2], padded[:, :, :-1, 2:]
+def residuals_of(windows: np.ndarray, predictor: int) -> np.ndarray:
+    """Windows (n, components, height + 1, width + 2) have a pixel more above and on both sides; the result is (n, components, values)."""
+    left, up, corner, right = windows[:, :, 1:, :-2], windows[:, :, :-1, 1:-1], windows[:, :, :-1, :-2], windows[:, :, :-1, 2:]
     if predictor == 0:
         high, low = np.maximum(left, up), np.minimum(left, up)
         guess = np.where(corner > high, low, np.where(corner < low, high, left + up - corner))
     else:
         guess = [None, (left + corner + 1) >> 1, (up + corner + 1) >> 1, (up + right + 1) >> 1, left, up, corner, right][predictor]
-    return px - guess.reshape(n, c, N)
+    return (windows[:, :, 1:, 1:-1] - guess).reshape(*windows.shape[:2], -1)
+
+
+def windows_of(px: np.ndarray) -> np.ndarray:
+    """Blocks (n, components, 64) that stand alone: nothing but zeros around them."""
+    n, c, _ = px.shape
+    out = np.zeros((n, c, SIDE + 1, SIDE + 2), np.int64)
+    out[:, :, 1:, 1:-1] = px.reshape(n, c, SIDE, SIDE)
+    return out
+
+
+def residuals(px: np.ndarray, predictor: int) -> np.ndarray:
+    return residuals_of(windows_of(px), predictor)
 
 
 def filtered(r: np.ndarray, code: int) -> np.ndarray:
@@ -109,12 +118,16 @@ def runs(v: np.ndarray, row: int) -> np.ndarray:
 
 
 def search(px: np.ndarray, scans: list[int]) -> list[tuple]:
-    """(best rank, bits, coder, second rank, bits, coder, tuples tried) of each block (n, 3, 64)."""
-    n = len(px)
+    return search_windows(windows_of(px), scans)
+
+
+def search_windows(windows: np.ndarray, scans: list[int]) -> list[tuple]:
+    """(best rank, bits, coder, second rank, bits, coder, tuples tried) of each block; one scan for blocks that are not 8x8."""
+    n, components = windows.shape[:2]
     least_r, least_f = np.full(n, np.inf), np.full(n, np.inf)
     blocks, heads, values = [], [], []
     for p in PREDICTOR_ORDER:
-        r = residuals(px, p)
+        r = residuals_of(windows, p)
         energy = (r.astype(float) ** 2).sum(axis=(1, 2))
         live = np.flatnonzero(~(energy > least_r * GIVE_UP))
         least_r[live] = np.minimum(least_r[live], energy[live])
@@ -131,9 +144,9 @@ def search(px: np.ndarray, scans: list[int]) -> list[tuple]:
     orders = list(scan_orders().values())
     rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for s in scans:
-        v = value[:, :, orders[s]]
+        v = value[:, :, orders[s]] if value.shape[2] == N else value
         mixed = v.transpose(0, 2, 1).reshape(len(v), -1)
-        for interleave, by_coder in ((0, [sum(plain(v[:, c], c) for c in range(3)), sum(runs(v[:, c], 3 + c) for c in range(3))]), (1, [plain(mixed, 6), runs(mixed, 7)])):
+        for interleave, by_coder in ((0, [sum(f(v[:, c], row + (c if c < 3 else 0)) for c in range(components)) for f, row in ((plain, 0), (runs, 3))]), (1, [plain(mixed, 6), runs(mixed, 7)])):
             bits = np.stack(by_coder)
             rows.append((block, (head * 8 + s) * 2 + interleave, bits.min(axis=0), bits.argmin(axis=0)))
     block, rank, bits, coder = (np.concatenate([r[i] for r in rows]) for i in range(4))

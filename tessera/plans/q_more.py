@@ -190,3 +190,45 @@ def head_training(spark: SparkSession, d: str) -> DataFrame:
 def golomb_states(spark: SparkSession, d: str) -> DataFrame:
     """The dump of (mean, width, value) at each step of the plain fold; here counted."""
     return X.blocks(spark, d).select("block_id", F.size(C.plain_states(A.residual("px", 4), 0)).cast("long").alias("n"))
+
+
+def round_trips(spark: SparkSession, d: str, form: str) -> DataFrame:
+    """Each block as an image of three components, written and read again: (block_id, bytes, equal)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..sources import gen8, images
+
+    encode = images.ENCODERS[form] if form != "gen8" else lambda image: gen8.encode(image, [0])  # one scan order
+
+    def run(batches):
+        for batch in batches:
+            planes = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8) for c in (1, 2, 3)]
+            sizes, equal = [], []
+            for image in np.stack(planes, axis=3).astype(np.uint8):
+                raw = encode(image)
+                sizes.append(len(raw))
+                equal.append(int((images.decode(raw)[:, :, -3:] == image).all()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(equal, pa.int64())], names=["block_id", "bytes", "equal"])
+
+    return X.planes(spark, d).select("block_id", "c0", "c1", "c2").mapInArrow(run, "block_id long, bytes long, equal long")
+
+
+@query("q_codec_bmp", "SELECT vec_id AS block_id, CAST(246 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS equal FROM embeddings")
+def codec_bmp(spark: SparkSession, d: str) -> DataFrame:
+    return round_trips(spark, d, "bmp")
+
+
+@query("q_codec_gen5", "SELECT vec_id AS block_id, CAST(254 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS equal FROM embeddings")
+def codec_gen5(spark: SparkSession, d: str) -> DataFrame:
+    return round_trips(spark, d, "gen5")
+
+
+@query("q_codec_png", "SELECT vec_id AS block_id, CAST(1 AS BIGINT) AS equal FROM embeddings")
+def codec_png(spark: SparkSession, d: str) -> DataFrame:
+    return round_trips(spark, d, "png").drop("bytes")
+
+
+@query("q_codec_gen8", "SELECT vec_id AS block_id, CAST(1 AS BIGINT) AS equal FROM embeddings")
+def codec_gen8(spark: SparkSession, d: str) -> DataFrame:
+    return round_trips(spark, d, "gen8").drop("bytes")

@@ -1,4 +1,4 @@
-"""Image files as DataFrames: bitmaps, PNG and the fifth-generation delta codec.
+"""Image files as DataFrames: bitmaps, PNG, the fifth-generation delta codec and the eighth.
 
 An image is a row (path, width, height, channels, data): 8-bit samples row by row, RGB or ARGB.
 Files are read with Spark's binaryFile source and decoded in Arrow batches; images are
@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from . import gen8
+
 SCHEMA = "path string, width int, height int, channels int, data binary, error string"
 
 # Bitmaps: uncompressed, 24 or 32 bits, bottom-up unless the height is negative, rows padded to four bytes.
@@ -228,13 +230,13 @@ def decode(raw: bytes) -> np.ndarray:
     """By the first bytes; a container of the codec's is unwrapped."""
     if raw[:11] == b"TLG0.0\x00sds\x1a":
         raw = raw[15:]
-    for magic, f in ((b"BM", decode_bmp), (b"\x89PNG", decode_png), (MAGIC_5, decode_5)):
+    for magic, f in ((b"BM", decode_bmp), (b"\x89PNG", decode_png), (MAGIC_5, decode_5), (gen8.MAGIC, gen8.decode)):
         if raw.startswith(magic):
             return f(raw)
     raise ValueError("an unknown format")
 
 
-ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"bmp": encode_bmp, "png": encode_png, "gen5": encode_5}
+ENCODERS: dict[str, Callable[[np.ndarray], bytes]] = {"bmp": encode_bmp, "png": encode_png, "gen5": encode_5, "gen8": gen8.encode}
 
 
 def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

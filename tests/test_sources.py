@@ -41,8 +41,8 @@ def test_images_from_files(spark, tmp_path):
     (tmp_path / "bad.bmp").write_bytes(b"BMxx")
     found = images.read_images(spark, str(tmp_path))
     assert found.where("error is not null").count() == 1
-    assert found.where("error is null").count() == 15
-    assert images.encoded(found, "png").count() == 15
+    assert found.where("error is null").count() == 20
+    assert images.encoded(found, "png").count() == 20
 
 
 def test_label_records(spark, tmp_path):
@@ -94,3 +94,30 @@ def test_streaming_appends_new_files_once(spark, tmp_path):
     (source / "2.json").write_text('{"a": 3}\n')
     go()
     assert sorted(r["a"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
+def test_eighth_generation_over_tiles_and_coders():
+    from tessera.sources import gen8
+
+    r = np.random.default_rng(9)
+    tall = np.repeat(np.repeat(r.integers(0, 256, (24, 3, 3)), 4, axis=0), 4, axis=1).astype(np.uint8)[:, :11]
+    assert (gen8.decode(gen8.encode(tall, [0, 3])) == tall).all()
+    with pytest.raises(ValueError, match="early"):
+        gen8.decode(gen8.encode(tall, [0])[:-40] + bytes(0))
+
+
+def test_rows_of_both_coders():
+    from tessera.functions.costs import DEFAULT
+    from tessera.sources import gen8
+
+    r = np.random.default_rng(1)
+    for row in range(8):
+        for scale in (1, 40, 3000):
+            values = (r.integers(-scale, scale + 1, 300) * (r.random(300) < 0.6)).tolist()
+            out = gen8.Bits()
+            gen8.write_row(out, values, row, DEFAULT)
+            assert gen8.read_row(gen8.Reader(out.bytes()), 300, row, DEFAULT) == values
+    columns = [r.integers(0, m, 50).tolist() for m in (8, 96, 2, 2)] + [[1] * 50]
+    out = gen8.Bits()
+    gen8.write_settings(out, columns)
+    assert gen8.read_settings(gen8.Reader(out.bytes()), 50) == columns
