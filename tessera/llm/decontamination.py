@@ -167,7 +167,7 @@ def scanned(index: Index, threshold: float):
                     [docs, pa.array([int(s >= threshold) for s in share], pa.int32()), *(pa.array(c, pa.int64()) for c in (cols[0], [x or 0 for x in cols[1]], cols[2])), pa.array(share, pa.float64())], schema=ARROW
                 )
 
-    return run
+    return common.releasing(run)
 
 
 def indexes(benchmark: DataFrame, mml: int, block_bytes: int) -> Iterator[Index]:
@@ -182,7 +182,7 @@ def indexes(benchmark: DataFrame, mml: int, block_bytes: int) -> Iterator[Index]
 
 def tiled(docs: DataFrame, benchmark: DataFrame, mml: int = MML, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row a document: contaminated (0 or 1) and its best item with the words in tiles, the item's words and the coverage."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.documents(docs)
     out, blocks = None, 0
     for index in indexes(benchmark, mml, block_bytes):
         one = docs.mapInArrow(scanned(index, threshold), SCHEMA)
@@ -202,12 +202,12 @@ def filtered(index: Index, threshold: float, doc: int, text: int):
             bad = [x for b in scan(iter([narrow])) for x in b.column(1).to_pylist()]
             yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
 
-    return run
+    return common.releasing(run)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, mml: int = MML, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of the documents that cover no item's words to the threshold; a filter for each block, no shuffle."""
-    out = docs
+    out = common.small_batches(docs)
     for index in indexes(benchmark, mml, block_bytes):
         out = out.mapInArrow(filtered(index, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
     return out

@@ -16,7 +16,7 @@ import pyarrow as pa
 from .words import BASE, BYTES, INVERSE, SPACE, SPAN, U, buffers, mix, powers
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT = 3_000_000  # parts that a Python worker keeps
+KEPT = 600_000  # parts that a Python worker keeps
 SPACED, LETTER, DIGIT, MARK, ODD = range(5)
 KIND = np.full(256, ODD, dtype=np.uint8)
 KIND[SPACE] = SPACED

@@ -46,7 +46,7 @@ from .words import U, mix, shingles, words
 CELLS = 1 << 22
 CELL_ROW = 1 << 14
 CHUNK = 2 << 20  # bytes of text hashed at a time
-FLUSH = 1 << 21  # prefix shingles that a task holds
+FLUSH = 1 << 19  # prefix shingles that a task holds
 BLOCK = 256  # classes of a block
 NARROW, WIDE = 64, 1 << 15  # bits of a bitmap
 FAN = 8
@@ -101,9 +101,10 @@ def profiled(k: int):
             nothing = [pa.nulls(len(rows), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(rows, pa.int32()), pa.array(sums, pa.binary())], schema=schema)
 
-    return run
+    return common.releasing(run)
 
 
+@common.releasing
 def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -122,7 +123,7 @@ def levels(mean: float):
                 ranks.append(np.clip(8 + np.floor(4 * np.log2(np.maximum(times, 1e-9))), 0, 63).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_pydict({"cell": batch.column(0), "ranks": pa.array(ranks, pa.binary())})
 
-    return run
+    return common.releasing(run)
 
 
 def commonness(profile: DataFrame) -> np.ndarray:
@@ -171,9 +172,10 @@ def prefixed(k: int, num: int, den: int, rank: np.ndarray, buckets: int):
         if held:
             yield flush(tokens, hs)
 
-    return run
+    return common.releasing(run)
 
 
+@common.releasing
 def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition's buckets, the shingles with more than one class: (token, h, leader)."""
     tokens, hs = [], []
@@ -257,7 +259,7 @@ def fetched(k: int, have: np.ndarray):
                     }
                 )
 
-    return run
+    return common.releasing(run)
 
 
 def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -278,7 +280,7 @@ def starred(num: int, den: int):
             ok = [links(np.frombuffer(a.as_buffer(), dtype=U), np.frombuffer(b.as_buffer(), dtype=U), num, den) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_pydict({"u": pa.array([u for u, o in zip(us, ok, strict=True) if o], pa.int64()), "v": pa.array([v for v, o in zip(vs, ok, strict=True) if o], pa.int64())})
 
-    return run
+    return common.releasing(run)
 
 
 def near(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -> bool:
@@ -420,7 +422,7 @@ def blocked(num: int, den: int, with_sets: bool):
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
-    return run
+    return common.releasing(run)
 
 
 def hinted(num: int, den: int):
@@ -432,7 +434,7 @@ def hinted(num: int, den: int):
             keep = [near(np.frombuffer(x, dtype=U), i, np.frombuffer(y, dtype=U), j, num, den) for x, i, y, j in zip(a, n, b, m, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return common.releasing(run)
 
 
 def fetched_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -458,7 +460,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     """(doc_id, n_shingles, component_id): documents link at a Jaccard similarity of num/den or more."""
     spark = docs.sparkSession
     n_parts = common.partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.documents(docs)
     rows = common.publish(docs.mapInArrow(profiled(k), "doc_id long, n long, h long, bits binary, cell int, counts binary"), "profile")
     rank = commonness(rows)
     profile = rows.where("doc_id is not null").select("doc_id", "n", "h")

@@ -53,7 +53,7 @@ def cut(length: int, width: int, vocabulary: str):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
                 i = j
 
-    return run
+    return common.releasing(run)
 
 
 def price(duals: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
@@ -132,7 +132,7 @@ def pack(docs: DataFrame, length: int = LENGTH, width: int = WIDTH, vocabulary:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, cls int"
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut(length, width, vocabulary), schema)
+    pieces = common.documents(docs).mapInArrow(cut(length, width, vocabulary), schema)
     pieces = common.publish(pieces, "pieces")
     demand = {r["cls"]: r["n"] for r in pieces.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most length / width rows
     slots, filled, base = [], dict.fromkeys(demand, 0), 0

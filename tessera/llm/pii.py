@@ -238,12 +238,12 @@ def rewritten(key: bytes, column: int, schema: T.StructType):
             columns = [texts if i == column else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[f.name for f in schema])
 
-    return run
+    return common.releasing(run)
 
 
 def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """All columns, with the text's personal values permuted, and n_pii."""
-    docs = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"))
+    docs = common.small_batches(docs).select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_pii", T.IntegerType())])
     return docs.mapInArrow(rewritten(key, docs.columns.index("text"), schema), schema)
 

@@ -30,7 +30,7 @@ from .words import LOWER, SPACE, Memo, buffers, hashes, spans
 
 VOCABULARY = "word_bpe_49k.json"
 MARK = 256  # the symbol after a word's last byte
-KEPT = 2_000_000
+KEPT = 1_000_000
 
 
 def pieces(vocabulary: str = VOCABULARY) -> list[tuple[int, ...]]:
@@ -126,12 +126,12 @@ def counted(automaton: Automaton):
                 total = np.concatenate(([0], np.cumsum(n)))[first]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(np.diff(first), pa.int64()), pa.array(np.diff(total), pa.int64())], schema=schema)
 
-    return run
+    return common.releasing(run)
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_words, n_tokens) for each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.documents(docs)
     return docs.mapInArrow(counted(Automaton(pieces(vocabulary))), "doc_id long, n_words long, n_tokens long")
 
 

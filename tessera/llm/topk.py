@@ -162,7 +162,7 @@ def searched(q_ids: np.ndarray, q: np.ndarray, dims: int, k: int, largest: float
             i, j = np.nonzero(np.isfinite(best_score))
             yield pa.RecordBatch.from_arrays([pa.array(part_ids[i]), pa.array(best_id[i, j]), pa.array(best_score[i, j].astype(np.int64))], schema=schema)
 
-    return run
+    return common.releasing(run)
 
 
 def top_k(table: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -41,6 +41,7 @@ LANES = 64
 TOGETHER = 16  # blocks that are scored at once
 
 
+@common.releasing
 def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, text) -> (doc_id, toxic, sorted distinct word hashes, their counts)."""
     for batch in batches:
@@ -193,7 +194,7 @@ def counted(terms: np.ndarray):
         rows = np.arange(0, max(1, len(terms)), 256)
         yield pa.RecordBatch.from_pydict({"at": pa.array(rows, pa.int32()), "df": pa.array([df[i : i + 256].tolist() for i in rows], pa.list_(pa.int64())), "n": pa.array([n] + [0] * (len(rows) - 1), pa.int64())})
 
-    return run
+    return common.releasing(run)
 
 
 def scored(index: Index, threshold: float):
@@ -217,7 +218,7 @@ def scored(index: Index, threshold: float):
                 s = [x for x, _ in scores]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([e for _, e in scores], pa.int64())], schema=schema)
 
-    return run
+    return common.releasing(run)
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int) -> Index:
@@ -264,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int) -
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: doc_id, held_out, score, predicted and the nearest example's id (null: none)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = common.documents(docs)
     index = fit(docs, labels, examples, terms, k)
     out = docs.mapInArrow(scored(index, threshold), "doc_id long, score double, predicted int, nearest long")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -279,12 +280,12 @@ def filtered(index: Index, threshold: float, doc: int, text: int):
             toxic = [x for b in score(iter([narrow])) for x in b.column(2).to_pylist()]
             yield batch.filter(pa.array([not x for x in toxic], pa.bool_()))
 
-    return run
+    return common.releasing(run)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents that the operator does not reject; one scan after fitting, no shuffle of texts."""
-    index = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, examples, terms, k)
+    index = fit(common.documents(docs), labels, examples, terms, k)
     return docs.mapInArrow(filtered(index, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
 
 
