@@ -1,19 +1,20 @@
 """Toxicity (operator 10): nearest labelled examples by exact TF-IDF cosine.
 
 Examples are a bounded sample (`examples` rows, by hash of the id) of labelled documents whose
-crc32(doc_id as text) mod 3 is not 1. Terms are the words whose presence tells the labels apart
-in the sample (likelihood ratio, at most `terms` of them); document frequencies of the terms are
-counted over all documents. Each document's nearest examples come exactly from a block-max
-inverted index: examples lie in blocks of 64, each term has its largest weight in each block, and
-blocks are scored in order of their upper bound until none can beat the k-th neighbour. Votes are
-weighted by distance; a logistic curve fitted to leave-one-out votes calibrates the score. The
-nearest example is given as evidence.
-
-Everything sent to executors is bounded by `terms` and `examples`. Words are compared without
-case and punctuation; whole texts are read. labels, lang, source and doc_id are no input.
+crc32(doc_id as text) mod 3 is not 1. Terms are all words of the sample; their document
+frequencies are counted over all documents. A term weighs TF-IDF times one plus its evidence (how
+well its presence tells the labels apart in the sample, as a likelihood ratio); no word is left
+out. Each document's nearest examples come exactly from a block-max inverted index: examples lie
+in blocks of 64, each term has its largest weight in each block that holds it, and blocks are
+scored in order of their upper bound until none can beat the k-th neighbour. Votes are weighted
+by distance; a logistic curve fitted to leave-one-out votes calibrates the score. The nearest
+example is given as evidence.
+
+Everything sent to executors is bounded by the words of `examples` documents. Words are compared
+without case and punctuation; whole texts are read. labels, lang, source and doc_id are no input.
 
 Defined cases: null or empty texts and texts without known terms score the calibrated rate of
-such examples; null labels, labels other than 0 and 1 and null ids teach nothing; without usable
+the examples; null labels, labels other than 0 and 1 and null ids teach nothing; without usable
 labels every score is 0.5 and predicted is 0; repeated rows score alike; ties between neighbours
 go to the smaller example; other columns are ignored.
 """
@@ -33,12 +34,11 @@ from .ngram_join import parts
 from .words import PUNCTUATION, U, words
 
 EXAMPLES = 8000
-TERMS = 2000
-EVIDENCE = 20.0  # least likelihood ratio of a term
 NEIGHBOURS = 25
 THRESHOLD = 0.7
 LANES = 64
-TOGETHER = 16  # blocks that are scored at once
+TOGETHER = 16  # blocks that are scored at first; then twice as many each time
+PACKED = 1024  # document frequencies in a row
 
 
 @common.releasing
@@ -68,7 +68,7 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, p: int, n: int) -> np.ndarray
 
 
 class Lookup:
-    """Places of word hashes in a sorted table of at most a few thousand."""
+    """Places of word hashes in a sorted table."""
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
@@ -85,6 +85,12 @@ class Lookup:
         return at[ok], i[ok]
 
 
+def flat(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges one after another, and the ranges' sizes."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 class Index:
     """Labelled examples as a block-max inverted index."""
 
@@ -94,19 +100,24 @@ class Index:
         self.vectors = [self.weigh(t, c) for t, c in vectors]
         sizes = [len(t) for t, _ in self.vectors]
         term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
-        example = np.repeat(np.arange(n), sizes)
-        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
-        order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
-        # Postings lie by term, then example; ends[t, b] is where block b of term t starts.
-        self.ends = np.searchsorted(term * (n + LANES) + self.example, np.arange(len(terms))[:, None] * (n + LANES) + np.arange(self.blocks + 1) * LANES)
-        self.most = np.zeros((len(terms), self.blocks))
-        np.maximum.at(self.most, (term, self.example // LANES), self.weight)
+        order = np.argsort(term, kind="stable")
+        # Postings lie by term, then example; an entry is a term's run of postings in a block.
+        self.example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
+        self.weight = (np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0))[order]
+        run = term[order].astype(np.int64) * max(1, self.blocks) + self.example // LANES
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        self.starts = np.append(first, len(run))
+        self.block = (run[first] % max(1, self.blocks)).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(run[first], np.arange(len(terms) + 1) * max(1, self.blocks))
         self.n = n
         self.seen: dict[bytes, tuple[float, int]] = {}
         self.slope, self.shift = 1.0, 0.0
         self.rest = 0.5  # vote of documents without a neighbour
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": [], "seen": {}}  # executors need the postings only
+
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[t]
         norm = math.sqrt(float((w * w).sum()))
@@ -114,25 +125,33 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, exactly; ties to the smaller example."""
-        bound = w @ self.most[t]
+        entry, size = flat(self.entries[t], self.entries[t + 1])
+        block, w = self.block[entry], np.repeat(w, size)
+        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
         blocks = np.argsort(-bound, kind="stable")
         blocks = blocks[: int((bound > 0).sum())]
         best, rows = np.zeros(0), np.zeros(0, np.int64)
-        for a in range(0, len(blocks), TOGETHER):
-            some = blocks[a : a + TOGETHER]
+        a, step = 0, TOGETHER
+        while a < len(blocks):
+            some = blocks[a : a + step]
             if len(best) == self.k:
                 some = some[bound[some] >= best[-1] - 1e-9]  # the others cannot beat the k-th neighbour
             if not len(some):
                 break
-            start, size = self.ends[t][:, some], self.ends[t][:, some + 1] - self.ends[t][:, some]
-            flat = size.ravel()
-            at = np.repeat(start.ravel() - np.cumsum(flat) + flat, flat) + np.arange(flat.sum())
-            near, place = np.unique(self.example[at], return_inverse=True)
-            score = np.round(np.bincount(place, weights=np.repeat(np.repeat(w, len(some)), flat) * self.weight[at], minlength=len(near)), 12)
-            keep = near != skip
-            best, rows = np.concatenate((best, score[keep])), np.concatenate((rows, near[keep]))
+            chosen = np.zeros(self.blocks, bool)
+            chosen[some] = True
+            own = chosen[block]
+            at, size = flat(self.starts[entry[own]], self.starts[entry[own] + 1])
+            score = np.bincount(self.example[at], weights=np.repeat(w[own], size) * self.weight[at], minlength=self.n)
+            if skip >= 0:
+                score[skip] = 0
+            near = np.flatnonzero(score > (best[-1] - 1e-9 if len(best) == self.k else 0))
+            if len(near) > self.k:
+                near = near[score[near] >= np.partition(score[near], -self.k)[-self.k] - 1e-9]
+            best, rows = np.concatenate((best, np.round(score[near], 12))), np.concatenate((rows, near))
             order = np.lexsort((rows, -best))[: self.k]
             best, rows = best[order], rows[order]
+            a, step = a + step, 2 * step
         return list(zip(best.tolist(), (-rows).tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
@@ -143,9 +162,8 @@ class Index:
         return (sum(w * self.labels[-e] for w, (_, e) in zip(weights, found, strict=True)) + base * self.rest) / (sum(weights) + base)
 
     def calibrate(self) -> None:
-        """Fits the rest's rate, then a logistic curve to the leave-one-out votes of the examples."""
-        none = [e for e, (t, _) in enumerate(self.vectors) if not len(t)]
-        self.rest = (float(self.labels[none].sum()) + 1) / (len(none) + 2)
+        """Takes the examples' rate for the rest, then fits a logistic curve to their leave-one-out votes."""
+        self.rest = (float(self.labels.sum()) + 1) / (self.n + 2)
         known: dict[tuple[bytes, float], float] = {}
         votes = []
         for e, (t, w) in enumerate(self.vectors):
@@ -180,7 +198,7 @@ class Index:
 
 
 def counted(terms: np.ndarray):
-    """Partial document frequencies: a row (count, rows) a task."""
+    """Partial document frequencies of each task: rows of PACKED terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look, df, n = Lookup(terms), np.zeros(len(terms), np.int64), 0
@@ -189,14 +207,28 @@ def counted(terms: np.ndarray):
                 h, first = words(texts, PUNCTUATION)
                 at, term = look.find(h)
                 row = np.searchsorted(first, at, "right") - 1
-                df += np.bincount(np.unique(row * len(terms) + term) % max(1, len(terms)), minlength=len(terms))
+                some, rows = np.unique(np.unique(row * len(terms) + term) % max(1, len(terms)), return_counts=True)
+                df[some] += rows
                 n += len(docs)
-        rows = np.arange(0, max(1, len(terms)), 256)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(rows, pa.int32()), "df": pa.array([df[i : i + 256].tolist() for i in rows], pa.list_(pa.int64())), "n": pa.array([n] + [0] * (len(rows) - 1), pa.int64())})
+        for i in range(0, len(terms), 256 * PACKED):
+            at = range(i, min(i + 256 * PACKED, len(terms)), PACKED)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "df": pa.array([df[j : j + PACKED].astype(np.int32).tobytes() for j in at], pa.binary()), "n": pa.array([n if j == 0 else 0 for j in at], pa.int64())})
 
     return common.releasing(run)
 
 
+@common.releasing
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the partial document frequencies by place."""
+    df: dict[int, np.ndarray] = {}
+    n: dict[int, int] = {}
+    for batch in batches:
+        for at, some, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            df[at] = df.get(at, 0) + np.frombuffer(some, np.int32).astype(np.int64)
+            n[at] = n.get(at, 0) + rows
+    yield pa.RecordBatch.from_pydict({"at": pa.array(df, pa.int32()), "df": pa.array([d.tobytes() for d in df.values()], pa.binary()), "n": pa.array(n.values(), pa.int64())})
+
+
 def scored(index: Index, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.int64())])
 
@@ -221,7 +253,7 @@ def scored(index: Index, threshold: float):
     return common.releasing(run)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int) -> Index:
     """docs(doc_id, text), labels(doc_id, toxic); only rows whose crc32(doc_id as text) mod 3 is not 1 teach."""
     teach = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     teach = teach.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
@@ -235,38 +267,33 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, terms: int, k: int) -
             rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(r["counts"], dtype=np.int32)))
     labels_ = np.array([r[1] for r in rows], dtype=float)
     p, n = int(labels_.sum()), int(len(rows) - labels_.sum())
-    vocab = np.zeros(0, U)
+    vocab, evidence = np.zeros(0, U), np.zeros(0)
     if p and n:
+        vocab, both = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
         pos, a = np.unique(np.concatenate([r[2] for r in rows if r[1]]), return_counts=True)
-        every, both = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
-        of = np.zeros(len(every), np.int64)
-        of[np.searchsorted(every, pos)] = a
-        g = likelihood_ratio(of.astype(float), (both - of).astype(float), p, n)
-        best = np.argsort(-g, kind="stable")[:terms]
-        vocab = np.sort(every[best[g[best] >= EVIDENCE]])
+        of = np.zeros(len(vocab))
+        of[np.searchsorted(vocab, pos)] = a
+        evidence = likelihood_ratio(of, both - of, p, n)
     df, total = np.zeros(len(vocab), np.int64), 0
-    counts = docs.mapInArrow(counted(vocab), "at int, df array<long>, n long")
-    sums = counts.select("at", F.posexplode("df").alias("i", "df"), "n").groupBy("at", "i").agg(F.sum("df").alias("df"), F.sum(F.when(F.col("i") == 0, F.col("n"))).alias("n")) if len(vocab) else None
-    for r in sums.collect() if sums is not None else []:  # a row a term
-        df[r["at"] + r["i"]] = r["df"]
-        total += r["n"] or 0
-    idf = np.log((1 + total) / (1 + df)) + 1
-    look = Lookup(vocab)
-    vectors = []
-    for _, _, w, c in rows:
-        at, term = look.find(w)
-        order = np.argsort(term)
-        vectors.append((term[order], c[at][order].astype(float)))
-    index = Index(vocab, idf, [r[0] for r in rows], labels_, vectors, k)
+    schema = "at int, df binary, n long"
+    if len(vocab):
+        counts = docs.mapInArrow(counted(vocab), schema)
+        for r in counts.repartition(common.partitions(docs.sparkSession), "at").mapInArrow(added, schema).collect():  # 8 bytes a term
+            df[r["at"] : r["at"] + PACKED] = np.frombuffer(r["df"], np.int64)
+            total += r["n"]
+    weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + evidence)
+    # Where there is no vocabulary, nothing is learnt and no example keeps a word.
+    vectors = [(np.searchsorted(vocab, w).astype(np.int32), c) if len(vocab) else (np.zeros(0, np.int32), c[:0]) for _, _, w, c in rows]
+    index = Index(vocab, weight, [r[0] for r in rows], labels_, vectors, k)
     if p and n:
         index.calibrate()
     return index
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: doc_id, held_out, score, predicted and the nearest example's id (null: none)."""
     docs = common.documents(docs)
-    index = fit(docs, labels, examples, terms, k)
+    index = fit(docs, labels, examples, k)
     out = docs.mapInArrow(scored(index, threshold), "doc_id long, score double, predicted int, nearest long")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", "nearest")
@@ -283,9 +310,9 @@ def filtered(index: Index, threshold: float, doc: int, text: int):
     return common.releasing(run)
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents that the operator does not reject; one scan after fitting, no shuffle of texts."""
-    index = fit(common.documents(docs), labels, examples, terms, k)
+    index = fit(common.documents(docs), labels, examples, k)
     return docs.mapInArrow(filtered(index, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
 
 

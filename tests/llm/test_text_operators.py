@@ -164,6 +164,40 @@ def test_nearest_is_exact():
             assert np.allclose([s for s, _ in index.nearest(t, w, e)], want, atol=1e-9)
 
 
+def test_copies_of_toxic_examples_are_found_without_telling_words(spark):
+    docs, labels = toxic_corpus()
+    clean = [w for w, (_, y) in zip(docs, labels) if not y]
+    ids = iter(range(6000, 7000))
+    teaching = [i for i in ids if zlib.crc32(str(i).encode()) % 3 != 1][:10]
+    # Words of their own, each in one toxic example: no evidence of many documents tells them.
+    texts = [" ".join(f"own{i}x{j}" for j in range(8)) + " w1 w2" for i in teaching]
+    held = [i for i in range(7000, 7100) if zlib.crc32(str(i).encode()) % 3 == 1][:10]
+    d = spark.createDataFrame([*docs, *zip(teaching, texts), *zip(held, texts), (8000, clean[5][1])], "doc_id long, text string")
+    y = spark.createDataFrame([*labels, *((i, 1) for i in teaching)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in T.toxicity(d, y).where("doc_id >= 6000").collect()}
+    assert [got[h]["nearest"] for h in held] == teaching
+    assert all(got[h]["score"] > 2 * got[8000]["score"] for h in held)
+
+
+def test_nearest_is_exact_with_many_blocks():
+    r = np.random.default_rng(1)
+    n, width = 3000, 400
+    vectors = []
+    for e in range(n):
+        t = np.sort(r.choice(width, r.integers(1, 30), replace=False, p=np.arange(width, 0, -1) / (width * (width + 1) / 2)))
+        vectors.append((t, r.integers(1, 4, len(t)).astype(float)))
+    index = T.Index(np.arange(width).astype(np.uint64), r.random(width) * 9 + 1, list(range(n)), np.zeros(n), vectors, 10)
+    dense = np.zeros((n, width))
+    for e, (t, w) in enumerate(index.vectors):
+        dense[e, t] = w
+    for e in range(0, n, 37):
+        score = np.round(dense @ dense[e], 12)
+        score[e] = 0
+        got = index.nearest(*index.vectors[e], e)
+        assert np.allclose([s for s, _ in got], np.sort(score[score > 0])[::-1][:10], atol=1e-9)
+        assert all(np.isclose(s, score[-i], atol=1e-9) for s, i in got)
+
+
 def test_token_counts_equal_greedy_matching(spark):
     vocabulary = set(C.pieces())
     longest = max(map(len, vocabulary))
