@@ -3,10 +3,12 @@
 Law `rows`: the shards' row counts differ by one at most. Documents start in shards by rank, so
 that every shard is full from the start. Documents of equal text are linked; the propagation works
 on (group, shard) counts, so a group costs at most one row a shard however many documents it has.
-In each round a join tells every group's rows the label that most of their neighbours have among
-the shards with room; rows of a smaller label move there as far as the quota goes. A group larger
-than a shard fills one after another. It ends when nothing moves (or after `rounds`). Then linked
-documents take their group's places by rank, and unlinked ones fill what is left.
+In each round a join tells every group's rows the label that most of their neighbours have; rows
+of a smaller label move there as far as the quotas go: full shards exchange linked rows (along
+cycles of shards), and unlinked rows make room where a shard has them. When nothing moves any more
+(or after `rounds`), groups that are still in several shards are laid one after another into the
+places that whole groups leave, so that only those at the end of a shard or larger than one stay
+cut. Then linked documents take their group's places by rank, and unlinked ones fill what is left.
 
 All ranks are two-level (counts of salts, then ranks within a salt), so neither a hot group nor a
 shard meets in one task. Broadcast and collected: one row a shard.
@@ -34,36 +36,95 @@ def stepped(value: Column, ends: list[int]) -> Column:
     return reduce(lambda rest, i: F.when(value < ends[i], F.lit(i)).otherwise(rest), range(len(ends) - 1, -1, -1), F.lit(len(ends) - 1)).cast("int")
 
 
+def cycle(left: list[list[int]]) -> list[int] | None:
+    """The nodes of a shortest cycle through a move between two shards; the last node is none of them."""
+    n, best = len(left), None
+    for s in range(n - 1):
+        before, todo = {s: s}, [s]
+        for a in todo:
+            for b in range(n):
+                if left[a][b] > 0 and b not in before and (a, b) != (s, n - 1):  # starts with a move to a shard
+                    before[b] = a
+                    todo.append(b)
+        for t in todo[1:]:
+            if left[t][s] > 0:
+                path = [t]
+                while path[-1] != s:
+                    path.append(before[path[-1]])
+                if best is None or len(path) < len(best):
+                    best = path[::-1]
+                break
+    return best
+
+
+def circulation(demand: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the rows that ask to move between two shards may: every shard stays at its quota."""
+    n = len(room)
+    # Node n stands for unlinked rows: room[t] of them can leave t, and any shard takes one for a linked row.
+    left = [[*row, room[t]] for t, row in enumerate(demand)] + [[sum(map(sum, demand))] * n + [0]]
+    flow = [[0] * (n + 1) for _ in range(n + 1)]
+    while path := cycle(left):
+        edges = list(zip(path, path[1:] + path[:1], strict=True))
+        size = min(left[a][b] for a, b in edges)
+        for a, b in edges:
+            left[a][b] -= size
+            flow[a][b] += size
+    return flow
+
+
+def running(rows: DataFrame, group: list[str], salts: int) -> DataFrame:
+    """Adds lo, the sum of n of the group's rows before each: by salt, then within the salt."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("g1", "g2", "n"), F.lit(salts)).cast("int"))
+    ahead = Window.partitionBy(*group).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*group, "salt").agg(F.sum("n").alias("sum")).select(*group, "salt", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy(*group, "salt").orderBy("g1", "g2").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("mine", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return rows.join(F.broadcast(sums), [*group, "salt"]).withColumn("lo", F.col("ahead") + F.col("mine")).drop("salt", "ahead", "mine")  # at most shards * shards * salts rows
+
+
 def propagated(state: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
     """state(g1, g2, shard, n) -> the same after label propagation."""
     spark = state.sparkSession
-    salts = 2 * common.partitions(spark)
-    for _ in range(rounds):
+    salts, shards = 2 * common.partitions(spark), len(quotas)
+    for i in range(rounds):
+        # Equal counts fall to another label in each round, so that moves in both directions meet.
+        label = state.groupBy("g1", "g2").agg(F.max(F.struct("n", F.xxhash64("g1", "g2", "shard", F.lit(i)).alias("h"), F.col("shard").alias("s"))).alias("m")).select("g1", "g2", F.col("m.s").alias("label"))
+        wants = common.publish(state.join(label, ["g1", "g2"]).where("label <> shard"), "wants")
+        demand = [[0] * shards for _ in range(shards)]
+        for r in wants.groupBy("shard", "label").agg(F.sum("n").alias("n")).collect():  # a row a pair of shards
+            demand[r["shard"]][r["label"]] = r["n"]
         used = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
-        room = [q - used.get(s, 0) for s, q in enumerate(quotas)]
-        open_ = [s for s, r in enumerate(room) if r > 0]
-        if not open_:
-            break
-        rooms = F.element_at(F.array(*(F.lit(r) for r in room)), F.col("label") + 1)
-        label = state.where(F.col("shard").isin(open_)).groupBy("g1", "g2").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("m")).select("g1", "g2", (-F.col("m.s")).alias("label"), F.col("m.n").alias("most"))
-        wants = state.join(label, ["g1", "g2"])
-        wants = wants.where((F.col("most") > F.col("n")) | ((F.col("most") == F.col("n")) & (F.col("label") < F.col("shard"))))
-        wants = common.publish(wants.withColumn("salt", F.pmod(F.xxhash64("g1", "g2", "shard"), F.lit(salts)).cast("int")), "wants")
-        if wants.isEmpty():
+        flow = circulation(demand, [q - used.get(s, 0) for s, q in enumerate(quotas)])
+        if not any(flow[s][t] for s in range(shards) for t in range(shards)):
             break
-        # How many rows ask for the same label before each one: by salt, then within the salt.
-        ahead = Window.partitionBy("label").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-        sums = wants.groupBy("label", "salt").agg(F.sum("n").alias("sum")).select("label", "salt", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("ahead"))
-        inside = Window.partitionBy("label", "salt").orderBy("g1", "g2", "shard").rowsBetween(Window.unboundedPreceding, -1)
-        moves = wants.withColumn("mine", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(sums), ["label", "salt"])  # at most shards * salts rows
-        take = F.greatest(F.lit(0), F.least(F.col("n"), rooms - F.col("ahead") - F.col("mine")))
-        moves = moves.withColumn("take", take).where("take > 0").select("g1", "g2", "shard", "label", "take")
+        most = F.element_at(F.array(*(F.lit(flow[s][t]) for s in range(shards) for t in range(shards))), (F.col("shard") * shards + F.col("label") + 1).cast("int"))
+        moves = running(wants, ["shard", "label"], salts)
+        moves = moves.withColumn("take", F.least(F.col("n"), most - F.col("lo"))).where("take > 0").select("g1", "g2", "shard", "label", "take")
         change = moves.select("g1", "g2", "shard", (-F.col("take")).alias("n")).union(moves.select("g1", "g2", F.col("label").alias("shard"), F.col("take").alias("n")))
         state = state.select("g1", "g2", "shard", "n").union(change).groupBy("g1", "g2", "shard").agg(F.sum("n").alias("n")).where("n > 0")
         state = common.publish(state, "state")
     return state
 
 
+def laid(state: DataFrame, quotas: list[int]) -> DataFrame:
+    """Lays groups in several shards one after another into what whole groups leave, if that cuts less."""
+    marked = common.publish(state.withColumn("shards", F.count(F.lit(1)).over(Window.partitionBy("g1", "g2"))), "marked")
+    whole, cut = marked.where("shards = 1").drop("shards"), marked.where("shards > 1").drop("shards")
+    before = cut.count()
+    if not before:
+        return state
+    used = {r["shard"]: r["n"] for r in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row a shard
+    places, end = [], 0
+    for free, s in sorted(((q - used.get(s, 0), s) for s, q in enumerate(quotas)), key=lambda x: (-x[0], x[1])):
+        places.append((s, end, end + free))
+        end += free
+    rows = running(cut.groupBy("g1", "g2").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0)), ["all"], 2 * common.partitions(state.sparkSession))
+    size = lambda a, b: F.least(F.col("lo") + F.col("n"), F.lit(b)) - F.greatest(F.col("lo"), F.lit(a))
+    parts = rows.select("g1", "g2", F.explode(F.array(*(F.struct(F.lit(s).alias("shard"), size(a, b).alias("n")) for s, a, b in places))).alias("p"))
+    new = common.publish(parts.select("g1", "g2", "p.shard", F.col("p.n").cast("long").alias("n")).where("n > 0"), "laid")
+    return common.publish(whole.select("g1", "g2", "shard", "n").union(new), "state") if new.count() < before else state
+
+
 def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row."""
     spark = docs.sparkSession
@@ -85,7 +146,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     counts = base.where("g1 is not null").groupBy("g1", "g2", F.col("init").alias("shard")).agg(F.count(F.lit(1)).alias("n"))
     group = Window.partitionBy("g1", "g2")
     state = counts.withColumn("all", F.sum("n").over(group)).where("all > 1").drop("all")
-    state = propagated(common.publish(state, "state"), quotas, rounds)
+    state = laid(propagated(common.publish(state, "state"), quotas, rounds), quotas)
 
     before = group.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = state.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0))).select("g1", "g2", "shard", "lo", (F.col("lo") + F.col("n")).alias("hi"))

@@ -32,3 +32,21 @@ def test_laws(spark, shards):
 
 def test_empty(spark):
     assert sharding.sharded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("texts, copies", [(403, 2), (41, 10)])
+def test_every_text_repeats(spark, texts, copies):
+    rows = [(i, f"text {i % texts}") for i in range(texts * copies)]
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(len(rows)))
+    counts = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert max(counts) - min(counts) <= 1
+    groups = {}
+    for r in got:
+        groups.setdefault(r["doc_id"] % texts, set()).add(r["shard"])
+    assert sum(len(g) > 1 for g in groups.values()) <= 7  # a cut at the end of each shard but the last
+
+
+def test_full_shards_exchange():
+    flow = sharding.circulation([[0, 5, 0, 0], [3, 0, 2, 0], [2, 0, 0, 4], [0, 0, 0, 0]], [0, 0, 0, 3])
+    assert [row[:4] for row in flow[:4]] == [[0, 5, 0, 0], [3, 0, 2, 0], [2, 0, 0, 3], [0, 0, 0, 0]]
