@@ -11,8 +11,9 @@ in parentheses, 10 to 15 digits), the local part of e-mail addresses, and hexade
 secrets after token, key, secret or password. Separators, signs and case stay as they were.
 
 Defined cases: a null text stays null with 0 found; texts of any length are read whole; a value
-that fails its validation is no value; overlapping values go to the format listed first; repeated
-rows come out alike; an empty table stays empty; all columns stay, but a column named n_pii is
+that fails its validation is no value, but a shorter or later one in the same place may be;
+overlapping values go to the format listed first, and later ones are searched in the stretches
+left; repeated rows come out alike; an empty table stays empty; all columns stay, but a column named n_pii is
 replaced by the count of pseudonyms.
 """
 
@@ -180,36 +181,48 @@ def secret(text: str, key: bytes) -> str | None:
     return lead + (new.upper() if value.isupper() else new)
 
 
-#: In the order in which a place is tried; all on ASCII digits.
-FORMATS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
-    ("mail", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", mail),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
-    ("card", r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
-    ("address", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", address),
-    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\w/-])", date),
-    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
-    ("phone", r"(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-])|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![\w-])", phone),
-    ("secret", r"(?i:\b(?:token|key|secret|password)\b)\s*[:=]\s*[\"']?[0-9a-fA-F]{16,}(?![0-9a-zA-Z])", secret),
+#: In the order in which a place is tried; all on ASCII digits. The third is what must follow.
+FORMATS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
+    ("mail", r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", "", mail),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"\b", iban),
+    ("card", r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}", r"(?![\w-])", card),
+    ("address", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?!\w|\.[0-9])", address),
+    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})", r"(?![\w/-])", date),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![\w-])", ssn),
+    ("phone", r"(?:(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){1,4}|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})", r"(?![\w-])", phone),
+    ("secret", r"(?i:\b(?:token|key|secret|password)\b)\s*[:=]\s*[\"']?[0-9a-fA-F]{16,}", r"(?![0-9a-zA-Z])", secret),
 ]
+#: Formats whose validation may fail for what a match holds beyond the value.
+LOOSE = {"iban", "card", "phone"}
 
 
 def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, int]]:
-    compiled = [(name, re.compile(pattern), lru_cache(100_000)(lambda t, f=f: f(t, key))) for name, pattern, f in FORMATS]
+    compiled = [(name, re.compile(body + tail), re.compile(body), re.compile(tail), lru_cache(100_000)(lambda t, f=f: f(t, key))) for name, body, tail, f in FORMATS]
+
+    def values(text: str, name: str, whole: re.Pattern, body: re.Pattern, tail: re.Pattern, f: Callable[[str], str | None]) -> Iterator[tuple[int, int, str]]:
+        at = 0
+        while m := whole.search(text, at):
+            start, end = m.span()
+            at = start + 1
+            for e in range(end, start, -1) if name in LOOSE else (end,):
+                if (e == end or (tail.match(text, e) and body.fullmatch(text, start, e))) and (new := f(text[start:e])) is not None:
+                    yield start, e, new
+                    at = e
+                    break
 
     def run(text: str) -> tuple[str, int]:
         taken: list[tuple[int, int, str]] = []
-        for name, pattern, f in compiled:
+        for name, *patterns, f in compiled:
             if name == "mail" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                    continue
-                if (new := f(m[0])) is not None:
-                    taken.append((m.start(), m.end(), new))
+            free = zip([0, *(b for _, b, _ in taken)], [*(a for a, _, _ in taken), len(text)], strict=True)
+            found = [(a + start, a + end, new) for a, b in free for start, end, new in values(text[a:b], name, *patterns, f)]
+            if found:
+                taken = sorted(taken + found)
         if not taken:
             return text, 0
         out, at = [], 0
-        for a, b, new in sorted(taken):
+        for a, b, new in taken:
             out += [text[at:a], new]
             at = b
         return "".join([*out, text[at:]]), len(taken)

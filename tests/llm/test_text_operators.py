@@ -96,6 +96,20 @@ def test_pseudonyms_keep_formats_and_links():
     assert P.pseudonymiser(b"other")("x 10.20.30.40")[0] != run("x 10.20.30.40")[0]
 
 
+def test_values_beside_other_values_are_found():
+    run = P.pseudonymiser(b"k")
+    new = lambda v: run(v)[0]
+    phone, ip, card, iban = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    for values in ([phone, ip], [ip, phone], [card, "190.1.2.3"], [card, ip, phone], [iban, card], [phone, "123-45-6789", "2021-03-04"]):
+        assert run(" ".join(values)) == (" ".join(map(new, values)), len(values))
+    for rest in ("123", "7", "12 3", "ABCD"):
+        assert run(f"{card} {rest}") == (f"{new(card)} {rest}", 1)
+    assert run(f"{iban} ABCD") == (f"{new(iban)} ABCD", 1)
+    assert run(f"no. 1234 {card}") == (f"no. 1234 {new(card)}", 1)
+    assert run("+1 (826) 555-4081 1234 5678") == (f"{new(phone + ' 1234')} 5678", 1)
+    assert run("41111111111111112") == ("41111111111111112", 0)  # no end within a run of digits
+
+
 @pytest.mark.parametrize("size", [1, 2, 10, 1000, 2**20 + 7])
 def test_feistel_permutes(size):
     some = range(min(size, 1000))
