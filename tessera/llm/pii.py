@@ -27,6 +27,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -237,7 +238,9 @@ def rewritten(key: bytes, column: int, schema: T.StructType):
             texts = batch.column(column)
             raw, off = buffers(texts)
             marks = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57) | (raw == 64), dtype=np.int64)))
-            rows = np.flatnonzero(np.diff(marks[off])).tolist()  # every value has a digit or an at sign, or a secret of letters alone
+            # Every value has a digit or an at sign, or is a secret of letters alone after its lead word.
+            led = pc.match_substring_regex(texts, "token|key|secret|password", ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+            rows = np.flatnonzero((np.diff(marks[off]) > 0) | led).tolist()
             counts, new = np.zeros(len(texts), np.int32), {}
             for r in rows:
                 t, n = one(texts[r].as_py())

@@ -126,6 +126,14 @@ def test_pii_keeps_rows_and_columns(spark):
     assert P.pseudonyms(docs.limit(0)).count() == 0
 
 
+def test_secrets_of_letters_alone_stay_linked(spark):
+    texts = ["Password: abcdefabcdefabcd", "on 2 sheets, Password: abcdefabcdefabcd", "no secret here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in P.pseudonyms(docs).collect()}
+    assert [got[i]["n_pii"] for i in range(4)] == [1, 1, 0, 0]
+    assert got[0]["text"] != texts[0] and got[1]["text"] == f"on 2 sheets, {got[0]['text']}" and got[3]["text"] is None
+
+
 def toxic_corpus():
     r = random.Random(8)
     common, bad = [f"w{i}" for i in range(200)], ["vile", "rotten", "nasty"]
