@@ -303,10 +303,10 @@ def feature_cache(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_block_search")
 def block_search(spark: SparkSession, d: str) -> DataFrame:
-    """The two cheapest settings of each block, in the first scan order (a mode of the search)."""
+    """The two cheapest settings of each block over all scan orders."""
     from ..operators.block_search import searched
 
-    return searched(X.planes(spark, d), [0])
+    return searched(X.planes(spark, d))
 
 
 # Orientation: gradients of the summed components under 3x3 weights, edges repeated.

@@ -199,7 +199,7 @@ def round_trips(spark: SparkSession, d: str, form: str) -> DataFrame:
 
     from ..sources import gen8, images
 
-    encode = images.ENCODERS[form] if form != "gen8" else lambda image: gen8.encode(image, [0])  # one scan order
+    encode = images.ENCODERS[form] if form != "gen8" else gen8.encode
 
     def run(batches):
         for batch in batches:

@@ -76,3 +76,22 @@ def test_rows(spark):
     got = B.searched(spark.createDataFrame(rows, "block_id int, c0 array<int>, c1 array<int>, c2 array<int>"), [0]).collect()
     assert sorted(r["block_id"] for r in got) == [0, 1, 2, 3]
     assert all(r["best_bits"] <= r["second_bits"] for r in got)
+
+
+def test_queries_search_all_scans(spark, monkeypatch):
+    import __spark_entry__
+
+    from tessera.plans import q_blocks, q_more
+    from tessera.sources import gen8
+
+    rows = [(i, *(c.tolist() for c in b)) for i, b in enumerate(blocks()[:3])]
+    planes = spark.createDataFrame(rows, "block_id long, c0 array<int>, c1 array<int>, c2 array<int>")
+    monkeypatch.setattr(q_blocks.X, "planes", lambda spark, d: planes)
+    monkeypatch.setattr(q_more.X, "planes", lambda spark, d: planes)
+    queries = __spark_entry__.queries()
+    want = B.search(blocks()[:3], list(range(8)))
+    got = sorted(queries["q_block_search"](spark, "").collect())
+    assert [tuple(r)[1:] for r in got] == want
+    assert any(r["best_rank"] // 2 % 8 for r in got)
+    sizes = {r["block_id"]: r["bytes"] for r in q_more.round_trips(spark, "", "gen8").collect()}
+    assert sizes == {i: len(gen8.encode(b.reshape(3, 8, 8).transpose(1, 2, 0).astype(np.uint8))) for i, b in enumerate(blocks()[:3])}
