@@ -4,10 +4,10 @@ Examples are a bounded sample (`examples` rows, by hash of the id) of labelled d
 crc32(doc_id as text) mod 3 is not 1. Terms are all words of the sample; their document
 frequencies are counted over all documents. A term weighs TF-IDF times one plus its evidence (how
 well its presence tells the labels apart in the sample, as a likelihood ratio); no word is left
-out. Each document's nearest examples come exactly from a block-max inverted index: examples lie
-in blocks of 64, each term has its largest weight in each block that holds it, and blocks are
-scored in order of their upper bound until none can beat the k-th neighbour. Votes are weighted
-by distance; a logistic curve fitted to leave-one-out votes calibrates the score. The nearest
+out. Each document's nearest examples come exactly: postings give the rarer terms' part of every
+cosine, and frequent terms of little weight, held as a table, are added only for examples that an upper
+bound (the product of the lengths) does not rule out as a k-th neighbour. Votes are weighted by
+distance; a logistic curve fitted to leave-one-out votes calibrates the score. The nearest
 example is given as evidence.
 
 Everything sent to executors is bounded by the words of `examples` documents. Words are compared
@@ -36,8 +36,7 @@ from .words import PUNCTUATION, U, words
 EXAMPLES = 8000
 NEIGHBOURS = 25
 THRESHOLD = 0.7
-LANES = 64
-TOGETHER = 16  # blocks that are scored at first; then twice as many each time
+FREQUENT = 128  # terms of many examples and little weight, held as a table
 PACKED = 1024  # document frequencies in a row
 
 
@@ -85,32 +84,29 @@ class Lookup:
         return at[ok], i[ok]
 
 
-def flat(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of the ranges one after another, and the ranges' sizes."""
-    size = end - start
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum()), size
-
-
 class Index:
-    """Labelled examples as a block-max inverted index."""
+    """Labelled examples as an inverted index of most terms and a table of frequent, light ones."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple], k: int):
         self.terms, self.idf, self.ids, self.labels, self.k = terms, idf, ids, labels, k
-        n, self.blocks = len(ids), -(-len(ids) // LANES)
+        self.n = n = len(ids)
         self.vectors = [self.weigh(t, c) for t, c in vectors]
         sizes = [len(t) for t, _ in self.vectors]
-        term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int64)
+        term = np.concatenate([t for t, _ in self.vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
+        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
+        held = np.bincount(term, minlength=len(terms))
+        often = np.argsort(-held / np.maximum(idf, 1e-9) ** 2, kind="stable")[:FREQUENT]
+        self.column = np.full(len(terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        column = self.column[term]
+        self.table = np.zeros((n, len(often)))
+        self.table[example[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.length = np.sqrt((self.table**2).sum(axis=1))
+        term, example, weight = (x[column < 0] for x in (term, example, weight))
         order = np.argsort(term, kind="stable")
-        # Postings lie by term, then example; an entry is a term's run of postings in a block.
-        self.example = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-        self.weight = (np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0))[order]
-        run = term[order].astype(np.int64) * max(1, self.blocks) + self.example // LANES
-        first = np.flatnonzero(np.diff(run, prepend=-1))
-        self.starts = np.append(first, len(run))
-        self.block = (run[first] % max(1, self.blocks)).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(run[first], np.arange(len(terms) + 1) * max(1, self.blocks))
-        self.n = n
+        self.example, self.weight = example[order], weight[order]
+        self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
         self.seen: dict[bytes, tuple[float, int]] = {}
         self.slope, self.shift = 1.0, 0.0
         self.rest = 0.5  # vote of documents without a neighbour
@@ -125,34 +121,28 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, exactly; ties to the smaller example."""
-        entry, size = flat(self.entries[t], self.entries[t + 1])
-        block, w = self.block[entry], np.repeat(w, size)
-        bound = np.bincount(block, weights=w * self.most[entry], minlength=self.blocks)
-        blocks = np.argsort(-bound, kind="stable")
-        blocks = blocks[: int((bound > 0).sum())]
-        best, rows = np.zeros(0), np.zeros(0, np.int64)
-        a, step = 0, TOGETHER
-        while a < len(blocks):
-            some = blocks[a : a + step]
-            if len(best) == self.k:
-                some = some[bound[some] >= best[-1] - 1e-9]  # the others cannot beat the k-th neighbour
-            if not len(some):
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[some] = True
-            own = chosen[block]
-            at, size = flat(self.starts[entry[own]], self.starts[entry[own] + 1])
-            score = np.bincount(self.example[at], weights=np.repeat(w[own], size) * self.weight[at], minlength=self.n)
-            if skip >= 0:
-                score[skip] = 0
-            near = np.flatnonzero(score > (best[-1] - 1e-9 if len(best) == self.k else 0))
-            if len(near) > self.k:
-                near = near[score[near] >= np.partition(score[near], -self.k)[-self.k] - 1e-9]
-            best, rows = np.concatenate((best, np.round(score[near], 12))), np.concatenate((rows, near))
-            order = np.lexsort((rows, -best))[: self.k]
-            best, rows = best[order], rows[order]
-            a, step = a + step, 2 * step
-        return list(zip(best.tolist(), (-rows).tolist(), strict=True))
+        column = self.column[t]
+        often = column >= 0
+        c, rest = np.zeros(self.table.shape[1]), t[~often]
+        c[column[often]] = w[often]
+        start = self.starts[rest]
+        size = self.starts[rest + 1] - start
+        at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+        score = np.bincount(self.example[at], weights=np.repeat(w[~often], size) * self.weight[at], minlength=self.n)
+        # The frequent terms add at most the product of the lengths: most examples cannot reach the k-th neighbour.
+        bound = score + math.sqrt(float(c @ c)) * self.length + 1e-9
+        if skip >= 0:
+            bound[skip] = score[skip] = 0
+        near = np.flatnonzero(bound > 1e-9)
+        if self.n > self.k:
+            first = np.argpartition(bound, -self.k)[-self.k :]
+            sure = score[first] + self.table[first] @ c
+            near = near[bound[near] >= max(sure.min(), np.partition(score, -self.k)[-self.k]) - 1e-9]
+        near = near[near != skip]
+        best = np.round(score[near] + self.table[near] @ c, 12)
+        near, best = near[best > 0], best[best > 0]
+        order = np.lexsort((near, -best))[: self.k]
+        return list(zip(best[order].tolist(), (-near[order]).tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         if not found:
