@@ -9,7 +9,7 @@ from tessera.llm import common
 from tessera.llm.decontamination import without_contaminated
 from tessera.llm.ngram_join import one_of_each
 from tessera.llm.packing import pack
-from tessera.llm.pii import pseudonyms
+from tessera.llm.pii import pseudonyms, session_key
 from tessera.llm.toxicity import without_toxic
 
 
@@ -30,7 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; n_chars follows the text."""
-    out = pseudonyms(docs).drop("n_pii")
+    out = pseudonyms(docs, session_key(spark)).drop("n_pii")
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

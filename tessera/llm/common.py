@@ -10,13 +10,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch of whole texts: a batch is held several times over on its way to Python and back.
-BATCH = 1000
+#: Rows and bytes of an Arrow batch of whole texts: a batch is held several times over on its way to Python and back.
+BATCH, BATCH_BYTES = 1000, "16m"
 
 
 def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -36,12 +38,22 @@ def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]
     return wrapped
 
 
+def slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `size` bytes of one text column (a row at least), so that a task's arrays stay small."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + size, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Lowers the session's Arrow batch size for texts, unless it is lower already."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = df.sparkSession
-    if not 0 < int(spark.conf.get(name)) <= BATCH:
-        spark.conf.set(name, str(BATCH))
+    """Bounds the session's Arrow batches for texts; a lower count of rows stays."""
+    rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(rows)) <= BATCH:
+        conf.set(rows, str(BATCH))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 

@@ -1,20 +1,26 @@
 """PII (operator 9): format-preserving Feistel pseudonyms.
 
 Validated values are permuted within their own format by a keyed Feistel network (8 rounds of
-keyed BLAKE2b, cycle-walking back into the domain), so that equal values get equal pseudonyms in
-every document and no table of values is kept: no shuffle, no state, recomputed alike anywhere.
+keyed BLAKE2b in counter mode, cycle-walking back into the domain), so that equal values get equal
+pseudonyms in every document and no table of values is kept: no shuffle, no state, recomputed
+alike anywhere. The key is a parameter; the query takes it from spark.tessera.pii.key.
 
 Formats: payment cards (13 to 19 digits with a right check digit, which stays right), IBANs (right check
 digits, which stay right), IPv4 addresses, calendar dates (the day number from 1900 to 2099, one
-pseudonym in any notation), US social security numbers, phone numbers (a plus sign or an area code
-in parentheses, 10 to 15 digits), the local part of e-mail addresses, and hexadecimal
-secrets after token, key, secret or password. Separators, signs and case stay as they were.
-
-Defined cases: a null text stays null with 0 found; texts of any length are read whole; a value
-that fails its validation is no value, but a shorter or later one in the same place may be;
+pseudonym in any notation), US social security numbers (with hyphens; after their name also with
+spaces or plain), phone numbers (a plus sign, an area code in parentheses, or groups of 3, 3 and 4;
+10 to 15 digits; the country's code stays), the local part of e-mail addresses, and hexadecimal
+secrets after token, key, secret or password. Separators, signs and case stay as they were. A day
+or month written without a leading zero is written without one again, so 5/3/2020 may become 19/6/1988:
+equal dates stay linked across notations, which a fixed width would not allow.
+
+Defined cases: a null text stays null with 0 found; texts and values of any length are read whole
+(the local part of an address is permuted in pieces of PIECE characters, all others as one number);
+a value that fails its validation is no value, but a shorter or later one in the same place may be;
 overlapping values go to the format listed first, and later ones are searched in the stretches
-left; repeated rows come out alike; an empty table stays empty; all columns stay, but a column named n_pii is
-replaced by the count of pseudonyms.
+left; a date that reads both ways is taken as day before month; repeated rows come out alike; an
+empty table stays empty; all columns stay, but a column named n_pii is replaced by the count of
+pseudonyms.
 """
 
 from __future__ import annotations
@@ -27,7 +33,6 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +40,21 @@ from pyspark.sql import types as T
 from . import common
 from .words import buffers
 
-KEY = b"replace this key"
+KEY_NAME, NO_KEY = "spark.tessera.pii.key", "not a secret: for tests only"
 ROUNDS = 8
+PIECE = 256  # characters of a spelled value permuted as one number
+DIGEST = 64
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def stream(data: bytes, size: int, key: bytes, person: bytes) -> int:
+    """`size` keyed bytes: one digest up to DIGEST bytes, beyond that digests of the first one and a counter."""
+    first = blake2b(data, digest_size=min(DIGEST, max(8, size)), key=key[:64], person=person).digest()
+    if size > DIGEST:
+        first = b"".join(blake2b(first + i.to_bytes(8, "big"), digest_size=DIGEST, key=key[:64], person=person).digest() for i in range(-(-size // DIGEST)))
+    return int.from_bytes(first, "big")
+
+
 def feistel(x: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size)."""
     if size < 2:
@@ -49,8 +64,7 @@ def feistel(x: int, size: int, key: bytes, tweak: str) -> int:
     while True:
         left, right = x >> half, x & mask
         for r in range(ROUNDS):
-            digest = blake2b(right.to_bytes(width, "big"), digest_size=max(8, width), key=key[:64], person=f"{r}{tweak}".encode()[:16]).digest()
-            left, right = right, left ^ (int.from_bytes(digest, "big") & mask)
+            left, right = right, left ^ (stream(right.to_bytes(width, "big"), width, key, f"{r}{tweak}".encode()[:16]) & mask)
         x = left << half | right
         if x < size:
             return x
@@ -96,21 +110,26 @@ def date(text: str, key: bytes) -> str | None:
             continue
         if not FIRST <= day <= LAST:
             return None
-        # Day before month reads the same only if the pseudonym's order is not in doubt either.
-        sure = lambda x: order != (2, 0, 1) or datetime.date.fromordinal(FIRST + x).day > 12
-        new = datetime.date.fromordinal(FIRST + walk(day - FIRST, LAST - FIRST + 1, key, "date", sure))
+        new = datetime.date.fromordinal(FIRST + feistel(day - FIRST, LAST - FIRST + 1, key, "date"))
+        width = 1 if len(m) == 1 or len(d) == 1 else 2
         fields = [""] * 3
-        for place, value, width in zip(order, (new.year, new.month, new.day), (4, 2, 2), strict=True):
-            fields[place] = str(value).zfill(width)
+        for place, value, digits in zip(order, (new.year, new.month, new.day), (4, width, width), strict=True):
+            fields[place] = str(value).zfill(digits)
         return re.sub(r"\d+", "{}", text).format(*fields)
     return None
 
 
+# Country calling codes of one and of two digits; all others have three.
+CALLING_1 = ["1", "7"]
+CALLING_2 = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
 def phone(text: str, key: bytes) -> str | None:
     digits = re.sub(r"\D", "", text)
-    country = re.match(r"\+(\d{1,3})[ .(-]", text)
-    keep = len(country[1]) if country else 0
-    if not 10 <= len(digits) <= 15 or len(digits) - keep < 6:
+    keep = 0
+    if text.startswith("+"):
+        keep = 1 if digits[:1] in CALLING_1 else 2 if digits[:2] in CALLING_2 else 3
+    if not 10 <= len(digits) <= 15:
         return None
     n = len(digits) - keep
     return refill(text, digits[:keep] + str(feistel(int(digits[keep:]), 10**n, key, f"phone{n}")).zfill(n))
@@ -138,8 +157,9 @@ def ssn(text: str, key: bytes) -> str | None:
         area, group, serial = x // 10**6, x // 10**4 % 100, x % 10**4
         return 0 < area < 900 and area != 666 and group > 0 and serial > 0
 
-    x = int(text.replace("-", ""))
-    return refill(text, str(walk(x, 10**9, key, "ssn", valid)).zfill(9)) if valid(x) else None
+    lead, value = re.fullmatch(r"(?s)(.*?)([0-9][0-9 -]*)", text).groups()
+    x = int(re.sub(r"\D", "", value))
+    return lead + refill(value, str(walk(x, 10**9, key, "ssn", valid)).zfill(9)) if valid(x) else None
 
 
 def address(text: str, key: bytes) -> str | None:
@@ -172,7 +192,8 @@ def spelled(text: str, key: bytes, tweak: str) -> str:
 
 def mail(text: str, key: bytes) -> str | None:
     local, _, domain = text.rpartition("@")
-    return f"{spelled(local, key, 'mail')}@{domain}" if any(c.lower() in LOWER or c in DIGITS for c in local) else None
+    new = "".join(spelled(local[i : i + PIECE], key, f"mail{i or ''}") for i in range(0, len(local), PIECE))
+    return f"{new}@{domain}" if any(c.lower() in LOWER or c in DIGITS for c in local) else None
 
 
 def secret(text: str, key: bytes) -> str | None:
@@ -189,8 +210,8 @@ FORMATS: list[tuple[str, str, str, Callable[[str, bytes], str | None]]] = [
     ("card", r"(?<![\w.])[0-9](?:[ -]?[0-9]){12,18}", r"(?![\w-])", card),
     ("address", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}", r"(?!\w|\.[0-9])", address),
     ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})", r"(?![\w/-])", date),
-    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?![\w-])", ssn),
-    ("phone", r"(?:(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){1,4}|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})", r"(?![\w-])", phone),
+    ("ssn", r"(?:(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}|(?i:\b(?:ssn|social security(?: number| no\.?)?)\b)\s*[:=#]?\s*[0-9]{3}([ -]?)[0-9]{2}\1[0-9]{4})", r"(?![\w-])", ssn),
+    ("phone", r"(?:(?<![\w.+/-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}|(?<![\w.+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)(?:[ .-]?[0-9]{2,4}){1,4}|(?<![\w.+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})", r"(?![\w-])", phone),
     ("secret", r"(?i:\b(?:token|key|secret|password)\b)\s*[:=]\s*[\"']?[0-9a-fA-F]{16,}", r"(?![0-9a-zA-Z])", secret),
 ]
 #: Formats whose validation may fail for what a match holds beyond the value.
@@ -231,38 +252,44 @@ def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, int]]:
     return run
 
 
+LEADS = ("token", "key", "secret", "password")
+
+
 def rewritten(key: bytes, column: int, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = pseudonymiser(key)
-        for batch in batches:
-            texts = batch.column(column)
-            raw, off = buffers(texts)
-            marks = np.concatenate(([0], np.cumsum((raw >= 48) & (raw <= 57) | (raw == 64), dtype=np.int64)))
-            # Every value has a digit or an at sign, or is a secret of letters alone after its lead word.
-            led = pc.match_substring_regex(texts, "token|key|secret|password", ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
-            rows = np.flatnonzero((np.diff(marks[off]) > 0) | led).tolist()
-            counts, new = np.zeros(len(texts), np.int32), {}
-            for r in rows:
-                t, n = one(texts[r].as_py())
-                if n:
-                    new[r], counts[r] = t, n
-            if new:
-                values = texts.to_pylist()
-                for r, t in new.items():
-                    values[r] = t
-                texts = pa.array(values, texts.type)
-            columns = [texts if i == column else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[f.name for f in schema])
+        for whole in batches:
+            for batch in common.slices(whole, column):
+                texts = batch.column(column)
+                raw, off = buffers(texts)
+                marked = np.flatnonzero((raw >= 48) & (raw <= 57) | (raw == 64))
+                some = np.diff(np.searchsorted(marked, off)) > 0
+                counts, values, changed = np.zeros(len(texts), np.int32), texts.to_pylist(), False
+                for r, text in enumerate(values):
+                    # Every value has a digit or an at sign, or is a secret of letters alone after its lead word.
+                    if text and (some[r] or any(w in low for low in (text.lower(),) for w in LEADS)):
+                        new, n = one(text)
+                        if n:
+                            values[r], counts[r], changed = new, n, True
+                if changed:
+                    texts = pa.array(values, texts.type)
+                columns = [texts if i == column else batch.column(i) for i in range(batch.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[f.name for f in schema])
 
     return common.releasing(run)
 
 
-def pseudonyms(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """All columns, with the text's personal values permuted, and n_pii."""
+def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
+    """All columns, with the text's personal values permuted under the key, and n_pii."""
     docs = common.small_batches(docs).select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_pii", T.IntegerType())])
     return docs.mapInArrow(rewritten(key, docs.columns.index("text"), schema), schema)
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names; without one a fixed key that protects nothing."""
+    return spark.conf.get(KEY_NAME, NO_KEY).encode()
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonyms(common.table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

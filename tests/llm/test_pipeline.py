@@ -10,7 +10,7 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from tessera.llm import ids  # noqa: E402
-from tessera.llm.pii import KEY, pseudonymiser  # noqa: E402
+from tessera.llm.pii import NO_KEY, pseudonymiser  # noqa: E402
 from tests.llm.test_ngram_join import brute  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,7 +57,7 @@ def test_stages(spark, corpus):
     assert set(single) == {i for i, (_, c) in groups.items() if c == i}
     assert 901 not in single and 902 not in single and {905, 906, 907} <= set(single)
     assert set(single) - set(fair) == {903}
-    one = pseudonymiser(KEY)
+    one = pseudonymiser(NO_KEY.encode())
     assert private == {i: t if t is None else one(t)[0] for i, t in fair.items()}
     assert "4111" not in private[904] and "10.1.2.3" not in private[904]
 

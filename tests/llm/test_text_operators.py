@@ -110,7 +110,42 @@ def test_values_beside_other_values_are_found():
     assert run("41111111111111112") == ("41111111111111112", 0)  # no end within a run of digits
 
 
-@pytest.mark.parametrize("size", [1, 2, 10, 1000, 2**20 + 7])
+def test_dates_stay_linked_in_every_notation():
+    run = P.pseudonymiser(b"k")
+    day = datetime.date(1999, 1, 13)
+    for _ in range(200):
+        day += datetime.timedelta(days=37)
+        new = datetime.date.fromisoformat(run(day.isoformat())[0])
+        assert run(f"{day:%d.%m.%Y}")[0] == f"{new:%d.%m.%Y}"
+        if day.day > 12:
+            assert run(f"{day:%m/%d/%Y}")[0] == f"{new:%m/%d/%Y}"
+            assert run(f"{day.day}/{day.month}/{day.year}")[0] in (f"{new.day}/{new.month}/{new.year}", f"{new:%d/%m/%Y}")
+
+
+def test_phones_keep_their_country_and_other_notations_are_found():
+    run = P.pseudonymiser(b"k")
+    for value, code in (("+15551234567", "+1"), ("+442079460958", "+44"), ("+351210000000", "+351"), ("+44 20 7946 0958", "+44")):
+        out, n = run(f"call {value}")
+        assert n == 1 and out.startswith(f"call {code}") and out != f"call {value}"
+    assert run("+1 (555) 123-4567")[0].translate({ord(c): None for c in " ()-"}) == run("+15551234567")[0]
+    assert run("call 555-123-4567 or 555.123.4568")[1] == 2
+    out, n = run("SSN 123 45 6789, social security number: 123456789, 123-45-6789")
+    a, b, c = re.findall(r"[0-9][0-9 -]{8,}", out)
+    assert n == 3 and a.replace(" ", "") == b == c.replace("-", "") != "123456789"
+
+
+def test_long_values_are_read_whole():
+    run = P.pseudonymiser(b"k")
+    for n in (64, 128, 230, 260, 320, 5000, 200_000):
+        text = f"key: {'ab' * (n // 2)}"
+        out, found = run(text)
+        assert found == 1 and len(out) == len(text) and out != text
+        text = f"{'ab' * (n // 2)}@example.org"
+        out, found = run(text)
+        assert found == 1 and len(out) == len(text) and out != text and out.endswith("@example.org")
+
+
+@pytest.mark.parametrize("size", [1, 2, 10, 1000, 2**20 + 7, 2**1100])
 def test_feistel_permutes(size):
     some = range(min(size, 1000))
     out = {P.feistel(x, size, b"k", "t") for x in some}
@@ -120,16 +155,16 @@ def test_feistel_permutes(size):
 def test_pii_keeps_rows_and_columns(spark):
     rows = [(1, "mail a1@b.org", "z", 9), (2, None, None, None), (3, "", "", 0), (3, "", "", 0), (4, "long " * 20000 + "10.0.0.1", "q", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _mine string, n_pii long")
-    out = P.pseudonyms(docs)
+    out = P.pseudonyms(docs, b"k")
     assert out.columns == ["doc_id", "text", "_mine", "n_pii"]
     assert sorted((r["doc_id"], r["n_pii"]) for r in out.collect()) == [(1, 1), (2, 0), (3, 0), (3, 0), (4, 1)]
-    assert P.pseudonyms(docs.limit(0)).count() == 0
+    assert P.pseudonyms(docs.limit(0), b"k").count() == 0
 
 
 def test_secrets_of_letters_alone_stay_linked(spark):
     texts = ["Password: abcdefabcdefabcd", "on 2 sheets, Password: abcdefabcdefabcd", "no secret here", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    got = {r["doc_id"]: r for r in P.pseudonyms(docs).collect()}
+    got = {r["doc_id"]: r for r in P.pseudonyms(docs, b"k").collect()}
     assert [got[i]["n_pii"] for i in range(4)] == [1, 1, 0, 0]
     assert got[0]["text"] != texts[0] and got[1]["text"] == f"on 2 sheets, {got[0]['text']}" and got[3]["text"] is None
 
