@@ -4,18 +4,21 @@ Examples are a bounded sample (`examples` rows, by hash of the id) of labelled d
 crc32(doc_id as text) mod 3 is not 1. Terms are all words of the sample; their document
 frequencies are counted over all documents. A term weighs TF-IDF times one plus its evidence (how
 well its presence tells the labels apart in the sample, as a likelihood ratio); no word is left
-out. Each document's nearest examples come exactly: postings give the rarer terms' part of every
-cosine, and frequent terms of little weight, held as a table, are added only for examples that an upper
-bound (the product of the lengths) does not rule out as a k-th neighbour. Votes are weighted by
-distance; a logistic curve fitted to leave-one-out votes calibrates the score. The nearest
-example is given as evidence.
-
-Everything sent to executors is bounded by the words of `examples` documents. Words are compared
+out. Each document's nearest examples come exactly from a block-max inverted index: examples lie in
+blocks of similar ones; postings give the rarer terms' part of every cosine; of frequent terms a
+block keeps its largest weights, which bound what they can add in the block, and their weights
+themselves are read only in blocks that the bound does not rule out for a k-th neighbour. Votes are
+weighted by distance; a logistic curve fitted to leave-one-out votes calibrates the score. The
+nearest example is given as evidence.
+
+Everything sent to executors is bounded by `examples` documents and `most_words` distinct words in
+them altogether; the sample is taken in the order of a hash of the id. Words are compared
 without case and punctuation; whole texts are read. labels, lang, source and doc_id are no input.
 
 Defined cases: null or empty texts and texts without known terms score the calibrated rate of
 the examples; null labels, labels other than 0 and 1 and null ids teach nothing; without usable
-labels every score is 0.5 and predicted is 0; repeated rows score alike; ties between neighbours
+labels every score is 0.5 and predicted is 0; copies of an example count once a label, so that copies
+with different labels teach both; repeated rows score alike; ties between neighbours
 go to the smaller example; other columns are ignored.
 """
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +35,17 @@ from pyspark.sql import functions as F
 
 from . import common
 from .ngram_join import parts
-from .words import PUNCTUATION, U, words
+from .words import PUNCTUATION, Memo, U, words
 
 EXAMPLES = 8000
+WORDS = 8 << 20  # distinct words of the examples, summed
 NEIGHBOURS = 25
 THRESHOLD = 0.7
-FREQUENT = 128  # terms of many examples and little weight, held as a table
+FREQUENT = 512  # terms of many examples, held as a table
+BLOCK = 32  # examples of a block
+LEAD = 10  # blocks that give a first k-th cosine
+TOGETHER = 64  # documents searched at a time
+KEPT = 200_000  # scores of texts that a task remembers
 PACKED = 1024  # document frequencies in a row
 
 
@@ -67,100 +76,132 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, p: int, n: int) -> np.ndarray
 
 
 class Lookup:
-    """Places of word hashes in a sorted table."""
+    """Places of word hashes in a table of terms."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(terms >> U(44)).astype(np.int64)] = True
+        self.terms = Memo(len(terms))
+        self.terms.put(terms, np.arange(len(terms)))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indexes into h that are terms, and which."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.flatnonzero(self.maybe[(h >> U(44)).astype(np.int64)])
-        i = np.minimum(np.searchsorted(self.terms, h[at]), len(self.terms) - 1)
-        ok = self.terms[i] == h[at]
-        return at[ok], i[ok]
+        place = self.terms.find(h)
+        at = np.flatnonzero(place >= 0)
+        return at, place[at].astype(np.int64)
+
+
+def clustered(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """An order of the rows in which those of a block are close: halves along the line between two far ones."""
+    if len(rows) <= BLOCK:
+        return rows
+    y = x[rows]
+    a = y[((y - y.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+    b = y[((y - a) ** 2).sum(axis=1).argmax()]
+    side = np.argsort(y @ (b - a), kind="stable")
+    half = -(-len(rows) // (2 * BLOCK)) * BLOCK
+    return np.concatenate((clustered(x, rows[side[:half]]), clustered(x, rows[side[half:]])))
 
 
 class Index:
-    """Labelled examples as an inverted index of most terms and a table of frequent, light ones."""
+    """Labelled examples as a block-max inverted index; places are examples in the order of the blocks."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple], k: int):
-        self.terms, self.idf, self.ids, self.labels, self.k = terms, idf, ids, labels, k
+        self.terms, self.idf, self.k = terms, idf, k
         self.n = n = len(ids)
         self.vectors = [self.weigh(t, c) for t, c in vectors]
-        sizes = [len(t) for t, _ in self.vectors]
         term = np.concatenate([t for t, _ in self.vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
-        example = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        example = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors])
         weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
-        held = np.bincount(term, minlength=len(terms))
-        often = np.argsort(-held / np.maximum(idf, 1e-9) ** 2, kind="stable")[:FREQUENT]
+        often = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:FREQUENT]
         self.column = np.full(len(terms), -1, np.int32)
         self.column[often] = np.arange(len(often))
         column = self.column[term]
-        self.table = np.zeros((n, len(often)))
-        self.table[example[column >= 0], column[column >= 0]] = weight[column >= 0]
-        self.length = np.sqrt((self.table**2).sum(axis=1))
+        table = np.zeros((n, len(often)))
+        table[example[column >= 0], column[column >= 0]] = weight[column >= 0]
+        self.age = clustered(table, np.arange(n))  # the example at each place
+        place = np.argsort(self.age)
+        self.ids, self.labels = [ids[e] for e in self.age], labels[self.age]
+        self.vectors = [self.vectors[e] for e in self.age]
+        blocks = -(-n // BLOCK)
+        padded = np.zeros((blocks * BLOCK, len(often)))
+        padded[:n] = table[self.age]
+        self.table = padded.reshape(blocks, BLOCK, len(often))
+        self.largest = self.table.max(axis=1, initial=0)
         term, example, weight = (x[column < 0] for x in (term, example, weight))
         order = np.argsort(term, kind="stable")
-        self.example, self.weight = example[order], weight[order]
+        block, inside = np.divmod(place[example[order]], BLOCK)
+        self.spot, self.weight = (block * TOGETHER * BLOCK + inside).astype(np.int32), weight[order]  # where its first document's score lies
         self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.seen: dict[bytes, tuple[float, int]] = {}
         self.slope, self.shift = 1.0, 0.0
         self.rest = 0.5  # vote of documents without a neighbour
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": [], "seen": {}}  # executors need the postings only
+        return self.__dict__ | {"vectors": []}  # executors need the index only
 
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[t]
         norm = math.sqrt(float((w * w).sum()))
         return t, w / norm if norm else w
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, exactly; ties to the smaller example."""
+    def add(self, score: np.ndarray, c: np.ndarray, asked: np.ndarray) -> None:
+        """Adds the frequent terms' part in the (block, document) places asked for."""
+        for b in np.flatnonzero(asked.any(axis=1)).tolist():
+            i = np.flatnonzero(asked[b])
+            score[b, i] += c[i] @ self.table[b].T
+
+    def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each (terms, weights), TOGETHER at most, the k (cosine, place) of largest cosine above 0, exactly; ties to the smaller example."""
+        m, blocks = len(asked), len(self.table)
+        if not blocks or not m:
+            return [[] for _ in asked]
+        t, w = (np.concatenate([q[i] for q in asked]) for i in (0, 1))
+        row = np.repeat(np.arange(m), [len(q[0]) for q in asked])
         column = self.column[t]
-        often = column >= 0
-        c, rest = np.zeros(self.table.shape[1]), t[~often]
-        c[column[often]] = w[often]
-        start = self.starts[rest]
-        size = self.starts[rest + 1] - start
+        c = np.zeros((m, self.table.shape[2]))
+        c[row[column >= 0], column[column >= 0]] = w[column >= 0]
+        t, w, row = (x[column < 0] for x in (t, w, row))
+        start = self.starts[t]
+        size = self.starts[t + 1] - start
         at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
-        score = np.bincount(self.example[at], weights=np.repeat(w[~often], size) * self.weight[at], minlength=self.n)
-        # The frequent terms add at most the product of the lengths: most examples cannot reach the k-th neighbour.
-        bound = score + math.sqrt(float(c @ c)) * self.length + 1e-9
-        if skip >= 0:
-            bound[skip] = score[skip] = 0
-        near = np.flatnonzero(bound > 1e-9)
-        if self.n > self.k:
-            first = np.argpartition(bound, -self.k)[-self.k :]
-            sure = score[first] + self.table[first] @ c
-            near = near[bound[near] >= max(sure.min(), np.partition(score, -self.k)[-self.k]) - 1e-9]
-        near = near[near != skip]
-        best = np.round(score[near] + self.table[near] @ c, 12)
-        near, best = near[best > 0], best[best > 0]
-        order = np.lexsort((near, -best))[: self.k]
-        return list(zip(best[order].tolist(), (-near[order]).tolist(), strict=True))
+        score = np.bincount(self.spot[at] + np.repeat(row * BLOCK, size), weights=np.repeat(w, size) * self.weight[at], minlength=blocks * TOGETHER * BLOCK)
+        score = score.astype(float, copy=False).reshape(blocks, TOGETHER, BLOCK)[:, :m]
+        if skip is not None:
+            score[np.array(skip) // BLOCK, np.arange(m), np.array(skip) % BLOCK] = -np.inf
+        most = score.max(axis=2) + self.largest @ c.T + 1e-9
+        lead = np.argpartition(most, -min(blocks, LEAD), axis=0)[-min(blocks, LEAD) :]
+        done = np.zeros(most.shape, dtype=bool)
+        done[lead, np.arange(m)] = True
+        self.add(score, c, done)
+        # The k-th cosine in the leading blocks: no smaller one can be among the nearest.
+        sure = score[lead, np.arange(m)].transpose(1, 0, 2).reshape(m, -1)
+        low = np.partition(sure, -self.k, axis=1)[:, -self.k] if sure.shape[1] >= self.k else np.full(m, -np.inf)
+        rest = (most >= low) & ~done
+        self.add(score, c, rest)
+        done |= rest
+        out = []
+        for i in range(m):
+            own = np.flatnonzero(done[:, i])
+            cosine = np.round(score[own, i].ravel(), 12)
+            least = max(np.partition(cosine, -self.k)[-self.k] if len(cosine) >= self.k else 0.0, 1e-12)
+            found = np.flatnonzero(cosine >= least)
+            place = own[found // BLOCK] * BLOCK + found % BLOCK
+            order = np.lexsort((self.age[place], -cosine[found]))[: self.k]
+            out.append(list(zip(cosine[found][order].tolist(), place[order].tolist(), strict=True)))
+        return out
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         if not found:
             return self.rest
         weights = [1 / (1.05 - min(1.0, c)) for c, _ in found]
         base = 2.0  # two votes of the rest steady a few far neighbours
-        return (sum(w * self.labels[-e] for w, (_, e) in zip(weights, found, strict=True)) + base * self.rest) / (sum(weights) + base)
+        return (sum(w * self.labels[e] for w, (_, e) in zip(weights, found, strict=True)) + base * self.rest) / (sum(weights) + base)
 
     def calibrate(self) -> None:
         """Takes the examples' rate for the rest, then fits a logistic curve to their leave-one-out votes."""
         self.rest = (float(self.labels.sum()) + 1) / (self.n + 2)
-        known: dict[tuple[bytes, float], float] = {}
         votes = []
-        for e, (t, w) in enumerate(self.vectors):
-            key = (t.tobytes() + w.tobytes(), float(self.labels[e]))
-            if key not in known:
-                known[key] = self.vote(self.nearest(t, w, e)) if len(t) else self.rest
-            votes.append(known[key])
+        for i in range(0, self.n, TOGETHER):
+            part = self.vectors[i : i + TOGETHER]
+            votes += [self.vote(f) for f in self.nearest(part, list(range(i, i + len(part))))]
         x = np.array([math.log(v / (1 - v)) for v in np.clip(votes, 1e-3, 1 - 1e-3)])
         y = self.labels
         a, b = 1.0, 0.0
@@ -175,16 +216,14 @@ class Index:
                 break
         self.slope, self.shift = max(1e-3, float(a)), float(b)
 
-    def score(self, t: np.ndarray, counts: np.ndarray) -> tuple[float, int | None]:
-        key = t.tobytes() + counts.tobytes()
-        if key not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            t, w = self.weigh(t, counts)
-            found = self.nearest(t, w) if len(t) else []
-            v = min(1 - 1e-3, max(1e-3, self.vote(found)))
-            self.seen[key] = 1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[-found[0][1]] if found else None
-        return self.seen[key]
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int | None]]:
+        """(score, nearest example's id) of each row's (terms, counts)."""
+        out = []
+        for i in range(0, len(rows), TOGETHER):
+            for found in self.nearest([self.weigh(*r) for r in rows[i : i + TOGETHER]]):
+                v = min(1 - 1e-3, max(1e-3, self.vote(found)))
+                out.append((1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[found[0][1]] if found else None))
+        return out
 
 
 def counted(terms: np.ndarray):
@@ -223,38 +262,43 @@ def scored(index: Index, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = Lookup(index.terms)
-        width = max(1, len(index.terms))
-        nothing = np.zeros(0, np.int64)
+        look, width = Lookup(index.terms), max(1, len(index.terms))
+        seen: dict[bytes, tuple[float, int | None]] = {}
         for batch in batches:
             for docs, texts in parts(batch, drop_null=False):
                 h, first = words(texts, PUNCTUATION)
                 at, term = look.find(h)
                 row = np.searchsorted(first, at, "right") - 1
                 both, counts = np.unique(row * width + term, return_counts=True)
-                row, term = both // width, both % width
-                scores = [index.score(nothing, nothing)] * len(docs)
-                edges = np.searchsorted(row, np.arange(len(docs) + 1))
-                for r in np.flatnonzero(np.diff(edges)).tolist():
-                    scores[r] = index.score(term[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]])
+                term, edges = both % width, np.searchsorted(both // width, np.arange(len(docs) + 1))
+                rows = [(term[a:b], counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                keys = [blake2b(t.tobytes() + c.tobytes(), digest_size=16).digest() for t, c in rows]
+                new = {k: r for k, r in zip(keys, rows, strict=True) if k not in seen}
+                if len(seen) > KEPT:
+                    seen, new = {}, dict(zip(keys, rows, strict=True))
+                seen |= zip(new, index.scores(list(new.values())), strict=True)
+                scores = [seen[k] for k in keys]
                 s = [x for x, _ in scores]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32()), pa.array([e for _, e in scores], pa.int64())], schema=schema)
 
     return common.releasing(run)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int) -> Index:
+def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: int = WORDS) -> Index:
     """docs(doc_id, text), labels(doc_id, toxic); only rows whose crc32(doc_id as text) mod 3 is not 1 teach."""
     teach = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     teach = teach.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     chosen = teach.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(examples)
     sample = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "toxic", "text")  # broadcast: `examples` rows of two numbers
-    schema = "doc_id long, toxic int, words binary, counts binary"
-    rows, got = [], set()
-    for r in sorted(sample.mapInArrow(presence, schema).toLocalIterator(), key=lambda r: (r["doc_id"], r["toxic"], r["words"])):
-        if (same := (r["words"], r["counts"])) not in got and len(rows) < examples:  # copies of an example would count twice
-            got.add(same)
-            rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(r["counts"], dtype=np.int32)))
+    found = sample.mapInArrow(presence, "doc_id long, toxic int, words binary, counts binary")
+    found = found.groupBy("toxic", "words", "counts").agg(F.min("doc_id").alias("doc_id"))  # copies of an example would count twice
+    rows, held = [], 0
+    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(examples).toLocalIterator():
+        held += len(r["words"]) // 8
+        if held > most_words:
+            break
+        rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(r["counts"], dtype=np.int32)))
+    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
     labels_ = np.array([r[1] for r in rows], dtype=float)
     p, n = int(labels_.sum()), int(len(rows) - labels_.sum())
     vocab, evidence = np.zeros(0, U), np.zeros(0)

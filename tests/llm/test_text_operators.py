@@ -218,7 +218,7 @@ def test_nearest_is_exact():
             mine = dict(zip(t.tolist(), w.tolist()))
             all_ = [(sum(mine.get(a, 0) * b for a, b in zip(t2.tolist(), w2.tolist())), -j) for j, (t2, w2) in enumerate(index.vectors) if j != e]
             want = sorted((s for s, _ in all_ if s > 0), reverse=True)[:10]
-            assert np.allclose([s for s, _ in index.nearest(t, w, e)], want, atol=1e-9)
+            assert np.allclose([s for s, _ in index.nearest([(t, w)], [e])[0]], want, atol=1e-9)
 
 
 def test_copies_of_toxic_examples_are_found_without_telling_words(spark):
@@ -236,9 +236,55 @@ def test_copies_of_toxic_examples_are_found_without_telling_words(spark):
     assert all(got[h]["score"] > 2 * got[8000]["score"] for h in held)
 
 
+def test_scores_equal_brute_force(spark):
+    docs, labels = toxic_corpus()
+    docs, labels = [*docs[:400], (9001, docs[6][1]), (9002, docs[6][1]), (9003, "new words only"), (9004, "w1 " * 30000)], [*labels[:400], (9001, 0), (9002, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame(labels, "doc_id long, toxic int")
+    teaches = lambda i: zlib.crc32(str(i).encode()) % 3 != 1
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rows = {}
+    for i, label in labels:
+        if teaches(i):
+            key = (tuple(sorted(split(dict(docs)[i]))), label)
+            rows[key] = min(rows.get(key, i), i)
+    examples = sorted((i, label, words) for (words, label), i in rows.items())
+    conflict = [label for _, label, words in examples if words == tuple(sorted(split(docs[6][1])))]
+    assert conflict == ([1, 0] if teaches(6) else [0])
+    vocabulary = sorted({w for _, _, words in examples for w in words})
+    at = {w: j for j, w in enumerate(vocabulary)}
+    count = lambda words: np.bincount([at[w] for w in words if w in at], minlength=len(vocabulary))
+    c = np.array([count(words) for _, _, words in examples])
+    label = np.array([y for _, y, _ in examples])
+    p, n = label.sum(), (1 - label).sum()
+    g = np.zeros(len(vocabulary))
+    for a, total, of in ((c[label == 1] > 0, p, 1), (c[label == 0] > 0, n, 0)):
+        share = (c > 0).mean(axis=0)
+        for seen, expected in ((a.sum(axis=0), total * share), (total - a.sum(axis=0), total * (1 - share))):
+            g += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12)), 0)
+    everything = np.array([count(split(t)) for _, t in docs])
+    weight = (np.log((1 + len(docs)) / (1 + (everything > 0).sum(axis=0))) + 1) * (1 + g)
+
+    def unit(c):
+        w = np.where(c > 0, 1 + np.log(np.maximum(c, 1)), 0) * weight
+        return w / max(1e-300, np.sqrt((w * w).sum()))
+
+    e = np.array([unit(row) for row in c])
+    index = T.fit(d, y, 8000, 25)
+    got = {r["doc_id"]: r for r in T.toxicity(d, y).collect()}
+    for (i, _), row in zip(docs, everything, strict=True):
+        cosine = np.round(e @ unit(row), 12)
+        order = [j for j in np.lexsort((np.arange(len(e)), -cosine))[:25] if cosine[j] > 0]
+        near = 1 / (1.05 - np.minimum(1, cosine[order]))
+        vote = ((near * label[order]).sum() + 2 * index.rest) / (near.sum() + 2) if order else index.rest
+        vote = min(1 - 1e-3, max(1e-3, vote))
+        assert np.isclose(got[i]["score"], 1 / (1 + np.exp(-(index.slope * np.log(vote / (1 - vote)) + index.shift))), atol=1e-6), i
+        assert got[i]["nearest"] == (examples[order[0]][0] if order else None)
+
+
 def test_nearest_is_exact_with_many_blocks():
     r = np.random.default_rng(1)
-    n, width = 3000, 400
+    n, width = 3000, 1500
     vectors = []
     for e in range(n):
         t = np.sort(r.choice(width, r.integers(1, 30), replace=False, p=np.arange(width, 0, -1) / (width * (width + 1) / 2)))
@@ -247,12 +293,13 @@ def test_nearest_is_exact_with_many_blocks():
     dense = np.zeros((n, width))
     for e, (t, w) in enumerate(index.vectors):
         dense[e, t] = w
-    for e in range(0, n, 37):
+    asked = list(range(0, n, 47))
+    assert len(asked) <= T.TOGETHER and index.spot.size
+    for e, got in zip(asked, index.nearest([index.vectors[e] for e in asked], asked), strict=True):
         score = np.round(dense @ dense[e], 12)
         score[e] = 0
-        got = index.nearest(*index.vectors[e], e)
         assert np.allclose([s for s, _ in got], np.sort(score[score > 0])[::-1][:10], atol=1e-9)
-        assert all(np.isclose(s, score[-i], atol=1e-9) for s, i in got)
+        assert all(np.isclose(s, score[i], atol=1e-9) for s, i in got)
 
 
 def test_token_counts_equal_greedy_matching(spark):
