@@ -3,24 +3,27 @@
 Words are compared without case and punctuation. A document and a benchmark item are candidates
 if they share a seed: `mml` consecutive words (the whole item if it is shorter). For each
 candidate pair greedy string tiling marks the longest match that overlaps no earlier one, again
-and again down to `mml` words; matches are found by running Karp-Rabin: rolling hashes of all
-unmarked windows of one search length, which falls when nothing that long is left. The share of
-an item's words in tiles is its coverage; passages in another order still count.
+and again down to `mml` words, of equally long ones the first in the item, then in the document.
+Matches are found by running Karp-Rabin: rolling hashes (differences of prefix sums) of all unmarked
+windows of a search length, which is halved in on the largest length that still has a match. The
+share of an item's words in tiles is its coverage; passages in another order still count.
 
 The benchmark is collected in blocks of at most `block_bytes` (a proven bound on what is sent to
-executors); each block is one scan of the documents. Documents are never shuffled with a single
-block; more blocks meet in one partial aggregation by document.
+executors and held by the driver), one after another; each block is one scan of the documents.
+Documents are never shuffled with a single block; with more, rows are numbered and what the blocks
+find meets in one partial aggregation by number.
 
 Defined cases: null or empty texts and items match nothing; a document's item is the one of the
-largest coverage, ties to the smaller item_id; repeated items are separate items; rows that repeat
-a doc_id are separate rows with one block, and one row (the largest coverage) with more; an empty
-benchmark leaves all documents clean; null ids stay null; other columns are ignored.
+largest coverage, ties to the smaller item_id, null last; items of equal id and text count once;
+rows that repeat a doc_id, and rows without one, are rows of their own with any number of blocks; an
+empty benchmark leaves all documents clean; null ids stay null; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,67 +32,59 @@ from pyspark.sql import functions as F
 
 from . import common
 from .ngram_join import parts
-from .words import PUNCTUATION, U, grams, words
+from .words import PUNCTUATION, U, grams, powers, words
 
 MML = 5
 THRESHOLD = 0.5
 BLOCK_BYTES = 32 << 20
 SCHEMA = "doc_id long, contaminated int, item_id long, matched_words long, item_words long, coverage double"
 ARROW = pa.schema([("doc_id", pa.int64()), ("contaminated", pa.int32()), ("item_id", pa.int64()), ("matched_words", pa.int64()), ("item_words", pa.int64()), ("coverage", pa.float64())])
-FACTOR = U(0x9E3779B97F4A7C15)
+FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
-def windows(h: np.ndarray, free: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and Karp-Rabin hash of each window of s unmarked words."""
-    n = len(h) - s + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    marked = np.concatenate(([0], np.cumsum(~free)))
-    at = np.flatnonzero(marked[s:] == marked[:n])
-    value = np.zeros(n, dtype=U)
-    for i in range(s):
-        value = value * FACTOR + h[i : i + n]
-    return at, value[at]
+class Windows:
+    """A word sequence whose unmarked windows of any length have rolling hashes."""
+
+    def __init__(self, h: np.ndarray):
+        self.h, self.free = h, np.ones(len(h), bool)
+        self.sums = np.concatenate((np.zeros(1, U), np.cumsum(h * powers(FACTOR, len(h) + 1)[: len(h)], dtype=U)))
+        self.back = powers(INVERSE, len(h) + 1)
+
+    def of(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and Karp-Rabin hash of each window of s unmarked words."""
+        marked = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(marked[s:] == marked[: max(0, len(marked) - s)])
+        return at, (self.sums[at + s] - self.sums[at]) * self.back[at]
 
 
 def tile(item: np.ndarray, doc: np.ndarray, mml: int) -> list[tuple[int, int, int]]:
     """Tiles (place in item, place in doc, words) of greedy string tiling, longest first."""
-    free_i, free_d = np.ones(len(item), bool), np.ones(len(doc), bool)
+    i, d = Windows(item), Windows(doc)
     tiles: list[tuple[int, int, int]] = []
-    s = max(mml, min(len(item), 20))
-    while True:
-        at_i, hash_i = windows(item, free_i, s)
-        at_d, hash_d = windows(doc, free_d, s)
-        places = defaultdict(list)
-        for a, x in zip(at_i.tolist(), hash_i.tolist(), strict=True):
-            places[x].append(a)
-        known = np.isin(hash_d, hash_i)
-        matches = []
-        for b, x in zip(at_d[known].tolist(), hash_d[known].tolist(), strict=True):
-            for a in places[x]:
-                if a and b and free_i[a - 1] and free_d[b - 1] and item[a - 1] == doc[b - 1]:
-                    continue  # inside a match that starts earlier
-                n = 0
-                while a + n < len(item) and b + n < len(doc) and free_i[a + n] and free_d[b + n] and item[a + n] == doc[b + n]:
-                    n += 1
-                if n >= s:
-                    matches.append((-n, a, b))
-        longest = -min(matches)[0] if matches else 0
-        if longest > 2 * s:
-            s = longest  # look for matches of that length first
-            continue
-        for n, a, b in sorted(matches):
-            if free_i[a : a - n].all() and free_d[b : b - n].all():
-                free_i[a : a - n] = free_d[b : b - n] = False
-                tiles.append((a, b, -n))
-        # Of an overlapping match a part may still be free and at least s long: look again.
-        if any(free_i[a : a - n].any() and free_d[b : b - n].any() for n, a, b in matches) and matches:
-            again_i, again_d = windows(item, free_i, s), windows(doc, free_d, s)
-            if np.isin(again_d[1], again_i[1]).any():
-                continue
-        if s <= mml:
-            return tiles
-        s = max(mml, s // 2)
+    high = min(len(item), len(doc))
+    while high >= mml:
+        low, s = mml, 0
+        while low <= high:  # the largest length with a match
+            middle = (low + high) // 2 if s else low
+            if np.isin(i.of(middle)[1], d.of(middle)[1]).any():
+                s, low = middle, middle + 1
+            else:
+                high = middle - 1
+        if not s:
+            break
+        places: dict[int, deque[int]] = defaultdict(deque)
+        for b, x in zip(*(c.tolist() for c in d.of(s)), strict=True):
+            places[x].append(b)
+        for a, x in zip(*(c.tolist() for c in i.of(s)), strict=True):
+            own = places.get(x)
+            while own and i.free[a : a + s].all():
+                b = own.popleft()  # marked or taken: of no use to later windows of this length
+                if d.free[b : b + s].all() and (item[a : a + s] == doc[b : b + s]).all():
+                    i.free[a : a + s] = d.free[b : b + s] = False
+                    tiles.append((a, b, s))
+        high = s - 1
+    return tiles
 
 
 class Index:
@@ -170,28 +165,32 @@ def scanned(index: Index, threshold: float):
     return common.releasing(run)
 
 
-def indexes(benchmark: DataFrame, mml: int, block_bytes: int) -> Iterator[Index]:
-    """The benchmark in blocks of about half of `block_bytes`; one block if it is no larger."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def indexes(benchmark: DataFrame, mml: int, block_bytes: int) -> Iterator[tuple[Index, int]]:
+    """The benchmark in blocks of about half of `block_bytes` (one block if it is no larger), with their number."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
     blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
     for b in range(blocks):
         rows = (items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b) if blocks > 1 else items).collect()
-        yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], mml)
+        yield Index([r["item_id"] for r in rows], [r["text"] for r in rows], mml), blocks
 
 
 def tiled(docs: DataFrame, benchmark: DataFrame, mml: int = MML, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row a document: contaminated (0 or 1) and its best item with the words in tiles, the item's words and the coverage."""
     docs = common.documents(docs)
-    out, blocks = None, 0
-    for index in indexes(benchmark, mml, block_bytes):
-        one = docs.mapInArrow(scanned(index, threshold), SCHEMA)
-        out, blocks = one if out is None else out.union(one), blocks + 1
-    if blocks == 1:
-        return out
+    numbered, found = None, []
+    for index, blocks in indexes(benchmark, mml, block_bytes):
+        if blocks == 1:
+            return docs.mapInArrow(scanned(index, threshold), SCHEMA)
+        if numbered is None:
+            numbered = common.publish(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+        some = numbered.select(F.col("row").alias("doc_id"), "text").mapInArrow(scanned(index, threshold), SCHEMA)
+        found.append(common.publish(some.where("item_words is not null"), "tiles"))
     names = ["contaminated", "item_id", "matched_words", "item_words", "coverage"]
-    order = F.struct(F.col("coverage").alias("_c"), (-F.col("item_id")).alias("_i"), *names)
-    return out.groupBy("doc_id").agg(F.max(order).alias("b")).select("doc_id", *(f"b.{c}" for c in names))
+    order = F.struct("coverage", F.col("item_id").isNotNull(), -F.col("item_id"), *(F.col(c).alias(f"_{c}") for c in names))
+    best = reduce(DataFrame.union, found).groupBy(F.col("doc_id").alias("row")).agg(F.max(order).alias("b")).select("row", *(F.col(f"b._{c}").alias(c) for c in names))
+    nothing = {"contaminated": 0, "matched_words": 0, "coverage": 0.0}
+    return numbered.select("row", "doc_id").join(best, "row", "left").fillna(nothing).select("doc_id", *names)
 
 
 def filtered(index: Index, threshold: float, doc: int, text: int):
@@ -208,8 +207,9 @@ def filtered(index: Index, threshold: float, doc: int, text: int):
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, mml: int = MML, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of the documents that cover no item's words to the threshold; a filter for each block, no shuffle."""
     out = common.small_batches(docs)
-    for index in indexes(benchmark, mml, block_bytes):
+    for index, blocks in indexes(benchmark, mml, block_bytes):
         out = out.mapInArrow(filtered(index, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
+        out = out if blocks == 1 else common.publish(out, "kept")
     return out
 
 
