@@ -89,6 +89,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (a published table) join table (few rows a key) by keys, inner or left: no key's rows meet in one task.
+
+    Keys with more than a quarter of a partition's even share of the rows, at most four times as
+    many as there are partitions, find their table rows by broadcast; only the others are shuffled.
+    """
+    spark = rows.sparkSession
+    full = rows.dropna(subset=keys)
+    limit = rows.count() // (4 * partitions(spark)) + 1
+    often = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys).collect()  # bounded as above
+    out = full.join(table, keys, how)
+    if often:
+        hot = F.broadcast(spark.createDataFrame(often, full.select(*keys).schema))
+        out = full.join(hot, keys, "left_anti").join(table, keys, how).unionByName(full.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, how))
+    if how == "left":
+        out = out.unionByName(rows.where(" or ".join(f"{k} is null" for k in keys)), allowMissingColumns=True)
+    return out
+
+
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str, salts: int | None = None) -> DataFrame:
     """Adds gapless ranks from 0 within `group` without putting a group into one task.
 

@@ -2,7 +2,7 @@
 
 Every round hooks each node to its smallest neighbour, follows two pointers and rewrites the
 links between the nodes that are left; at least half of them go in each round. Rows move in
-joins and partial aggregates only: nothing is collected and no node's neighbours meet in a task.
+joins and partial aggregates only: links are never collected, and no node's neighbours meet in a task.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import publish
+from .common import join_hot, publish
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,11 +21,11 @@ def components(links: DataFrame) -> DataFrame:
     first = True
     while not links.isEmpty():
         both = links.select("u", "v").union(links.select("v", "u"))
-        hook = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p"))
-        two = hook.alias("a").join(hook.alias("b"), F.col("a.p") == F.col("b.u")).select(F.col("a.u").alias("u"), F.col("b.p").alias("p"))
+        hook = publish(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("p")), "hook")
+        two = join_hot(hook, hook.select(F.col("u").alias("p"), F.col("p").alias("next")), ["p"]).select("u", F.col("next").alias("p"))
         two = publish(two, "hooks")
         renamed = two.select(F.col("u").alias("comp"), "p")
-        found = two.select(F.col("u").alias("node"), F.col("p").alias("comp")) if first else found.join(renamed, "comp", "left").select("node", F.coalesce("p", "comp").alias("comp"))
+        found = two.select(F.col("u").alias("node"), F.col("p").alias("comp")) if first else join_hot(found, renamed, ["comp"], "left").select("node", F.coalesce("p", "comp").alias("comp"))
         found = publish(found, "components")
         first = False
         left = two.select(F.col("u").alias("x"), F.col("p").alias("px"))

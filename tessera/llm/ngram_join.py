@@ -11,13 +11,15 @@ result is each document's component. All steps are exact.
    any common order. The order puts shingles first that the sketch calls rare, so a passage that
    many documents share rarely is in a prefix. Prefix shingles travel packed (16 bytes each, one
    row a bucket and task); a bucket keeps the shingles that more than one class has.
-3. Stars: every class is compared with the smallest class of each of its shingles, first by bitmap,
-   then by set; what links is merged. That settles a large group of near copies in linear work.
+3. Signature trees hold classes as leaves; a node above ORs its children's bitmaps and spans their
+   sizes (fan-out 8, a tree a bitmap width). Two trees are descended together, and a pair of nodes
+   is pruned by the largest overlap it can have. Every pair that is compared by set comes out of
+   such a traversal. First each shingle's smallest class, its leader, meets the trees of its other
+   classes, and what links is merged: that settles a large group of near copies in linear work.
 4. What is left are shingles whose classes are not in one component yet; shingles of equal
    postings count once. Their classes meet in blocks: one block a shingle if it is small, else
    blocks of the leader's component against all others, and pairs of blocks among the others.
-   In a block signature trees (OR-combined bitmaps and size ranges, fan-out 8) are traversed
-   against each other, pruning node pairs by the largest overlap they can have. Pairs that survive
+   In a block the trees of its classes are traversed against each other. Pairs that survive
    are compared by set; a block with more pairs than classes compares them in place, unless
    their components have met already, so that no group sends out all its pairs.
 
@@ -36,8 +38,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .components import components
@@ -283,16 +286,6 @@ def starred(num: int, den: int):
     return common.releasing(run)
 
 
-def near(a: np.ndarray, n: int, b: np.ndarray, m: int, num: int, den: int) -> bool:
-    """False only if two sets of sizes n and m cannot link by their bitmaps."""
-    if den * min(n, m) < num * max(n, m):
-        return False
-    a, b = (fold(a, len(b)), b) if len(a) > len(b) else (a, fold(b, len(a)))
-    ones_a, ones_b = int(np.bitwise_count(a).sum()), int(np.bitwise_count(b).sum())
-    most = min(int(np.bitwise_count(a & b).sum()) + min(n - ones_a, m - ones_b), n, m)
-    return (den + num) * most >= num * (n + m)
-
-
 def fold(bits: np.ndarray, words_: int) -> np.ndarray:
     """A bitmap (or rows of them) of fewer bits: shingles that share the lower bits share a bit."""
     while bits.shape[-1] > words_:
@@ -338,29 +331,34 @@ def traversed(a: Tree, b: Tree, num: int, den: int) -> np.ndarray:
             pairs = np.stack((np.repeat(pairs[:, 0], FAN), (pairs[:, 1:2] * FAN + kid).ravel()), axis=1)
 
 
-def candidates(bits: list[np.ndarray], sizes: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs of different components that may link."""
-    if len(bits) <= 6:
-        return [(i, j) for j in range(len(bits)) for i in range(j) if comps[i] != comps[j] and near(bits[i], sizes[i], bits[j], sizes[j], num, den)]
+def forest(bits: list[np.ndarray], sizes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By bitmap width: the sets' numbers in tree order, bitmaps and sizes."""
     by: dict[int, list[int]] = {}
     for i, b in enumerate(bits):
         by.setdefault(len(b), []).append(i)
     rows = {w: sorted(own, key=lambda i: (sizes[i] // 4, int(bits[i][0]))) for w, own in by.items()}
-    stacked = {w: (np.stack([bits[i] for i in own]), np.array([sizes[i] for i in own])) for w, own in rows.items()}
-    comp = np.array(comps)
+    return {w: (np.array(own), np.stack([bits[i] for i in own]), np.array([sizes[i] for i in own])) for w, own in rows.items()}
+
+
+def between(one: dict, other: dict, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (number in one, number in other) that may link; a wider bitmap is folded to the other's width."""
     found: list[tuple[int, int]] = []
-    for w, own in rows.items():
-        tree = Tree(*stacked[w])
-        for v in (w, 2 * w, 4 * w):  # sets that link differ in size by less than a factor of 4
-            if v in rows:
-                other = tree if v == w else Tree(fold(stacked[v][0], w), stacked[v][1])
-                p = traversed(tree, other, num, den)
-                i, j = np.array(own)[p[:, 0]], np.array(rows[v])[p[:, 1]]
-                keep = (comp[i] != comp[j]) & ((i < j) | (v != w))
-                found += zip(i[keep].tolist(), j[keep].tolist(), strict=True)
+    for w, (own, bits, sizes) in one.items():
+        for v, (own2, bits2, sizes2) in other.items():
+            if den * sizes.max() >= num * sizes2.min() and den * sizes2.max() >= num * sizes.min():
+                least = min(w, v)
+                a = Tree(fold(bits, least), sizes)
+                p = traversed(a, a if bits is bits2 else Tree(fold(bits2, least), sizes2), num, den)
+                found += zip(own[p[:, 0]].tolist(), own2[p[:, 1]].tolist(), strict=True)
     return found
 
 
+def candidates(bits: list[np.ndarray], sizes: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of different components that may link."""
+    trees = forest(bits, sizes)
+    return [(i, j) for i, j in between(trees, trees, num, den) if i < j and comps[i] != comps[j]]
+
+
 def joined(pairs: list[tuple[int, int]], sets: list[np.ndarray], hs: list[int], comps: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Links (h, h) that connect whatever the links among these pairs connect beyond `comps`."""
     up: dict[int, int] = {c: c for c in comps}
@@ -425,14 +423,19 @@ def blocked(num: int, den: int, with_sets: bool):
     return common.releasing(run)
 
 
-def hinted(num: int, den: int):
-    """(u, v, n, bits, m, other bits) -> the pairs that may link."""
+def led(num: int, den: int):
+    """(class, leader, n, bits, m, the leader's bits) -> (u, v): the leaders' trees against those of their classes in a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, n, b, m = (batch.column(c).to_pylist() for c in (3, 2, 5, 4))
-            keep = [near(np.frombuffer(x, dtype=U), i, np.frombuffer(y, dtype=U), j, num, den) for x, i, y, j in zip(a, n, b, m, strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            leaders = batch.column(1).to_numpy(zero_copy_only=False)
+            order = np.argsort(leaders, kind="stable")
+            bits, sizes = [np.frombuffer(x, dtype=U) for x in batch.column(3).to_pylist()], batch.column(2).to_pylist()
+            keep: list[int] = []
+            for own in np.split(order, np.flatnonzero(np.diff(leaders[order])) + 1) if len(order) else []:
+                lead = forest([np.frombuffer(batch.column(5)[own[0]].as_py(), dtype=U)], [batch.column(4)[own[0]].as_py()])
+                keep += [int(own[i]) for _, i in between(lead, forest([bits[i] for i in own], [sizes[i] for i in own]), num, den)]
+            yield batch.select([0, 1]).take(pa.array(sorted(keep), pa.int64()))
 
     return common.releasing(run)
 
@@ -456,8 +459,8 @@ def verified(docs: DataFrame, pairs: DataFrame, active: DataFrame, k: int, num:
     return common.publish(pairs.join(a, "u").join(b, "v").select("u", "v", "s", "s2").mapInArrow(starred(num, den), "u long, v long"), "linked")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents link at a Jaccard similarity of num/den or more."""
+def classed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, h, component, comp) of all rows with an id: h is a set's hash, component the smallest doc_id, comp one h of the component; without words all three are null."""
     spark = docs.sparkSession
     n_parts = common.partitions(spark)
     docs = common.documents(docs)
@@ -475,8 +478,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     verify = lambda pairs: verified(docs, pairs, active, k, num, den)
 
     pairs = postings.where("h <> leader").select("h", "leader").distinct()
-    hinted_ = pairs.join(active.select("h", "n", "bits"), "h").join(other, "leader").select("h", "leader", "n", "bits", "m", "bits2")
-    stars = verify(hinted_.mapInArrow(hinted(num, den), "u long, v long"))
+    sides = pairs.join(active.select("h", "n", "bits"), "h").join(other, "leader").select("h", "leader", "n", "bits", "m", "bits2")
+    stars = verify(sides.mapInArrow(led(num, den), "u long, v long"))
     met = components(stars)
 
     # Shingles whose classes are not all in one component.
@@ -521,21 +524,50 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     final = components(stars.union(more))
     named = classes.join(final.select(F.col("node").alias("h"), "comp"), "h").select("h", "rep", "comp")
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    joined_ = named.join(smallest, "comp").select("h", "component")
-    named = classes.join(joined_, "h", "left").select("h", F.coalesce("component", "rep").alias("component"))
-    out = profile.join(common.publish(named, "named"), "h", "left")
-    lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(lost)
+    joined_ = named.join(smallest, "comp").select("h", "component", "comp")
+    named = classes.join(joined_, "h", "left").select("h", F.coalesce("component", "rep").alias("component"), F.coalesce("comp", "h").alias("comp"))
+    return common.join_hot(profile, common.publish(named, "named"), ["h"], "left").select("doc_id", "n", "h", "component", "comp")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents link at a Jaccard similarity of num/den or more."""
+    found = classed(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    lost = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    return found.union(lost)
+
+
+def hashed(k: int, text: int):
+    """Adds the set's hash to each row, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, text):
+                h = [identity(s) if len(s) else None for s in shingles(*words(batch.column(text)), k)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(h, pa.int64())], names=[*batch.schema.names, "_h"])
+
+    return common.releasing(run)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """All columns of one document a component: the row of the smallest doc_id (repeated rows: one); null ids stay."""
-    found = jaccard_components(docs, k, num, den)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("_stay"))
-    order = Window.partitionBy("_stay").orderBy(F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row", "_stay")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """All columns of one document a component: a row of the smallest doc_id.
+
+    Rows without an id or without words stay. Rows that share an id are documents of their own: each
+    goes or stays by its own text, and of those that repeat a set of shingles under an id one stays.
+    """
+    found = common.publish(classed(docs, k, num, den), "classed")
+    count = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    many = common.publish(count.where("n > 1").select("doc_id"), "repeated")
+    stay = found.where("h is null or doc_id = component").join(many, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"))
+    kept = docs.join(stay, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").unionByName(docs.where("doc_id is null"))
+    if many.isEmpty():
+        return kept
+    some = common.small_batches(docs).join(many.select(F.col("doc_id").alias("_id")), F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    some = some.withColumn("text", F.col("text").cast("string"))
+    some = common.publish(some.mapInArrow(hashed(k, some.columns.index("text")), T.StructType([*some.schema.fields, T.StructField("_h", T.LongType())])), "hashed")
+    stay = found.where("doc_id = component").join(many, "doc_id").groupBy(F.col("doc_id").alias("_id"), "comp").agg(F.min("h").alias("_h")).select("_id", "_h")
+    alone = some.where("_h is not null").withColumn("_id", F.col("doc_id").cast("long")).groupBy("_id", "_h").agg(F.min_by(F.struct(*docs.columns), F.struct(F.crc32(F.col("text").cast("binary")), F.xxhash64(*docs.columns))).alias("_row"))
+    alone = alone.join(stay, ["_id", "_h"]).select("_row.*").select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in docs.schema))
+    return kept.unionByName(alone).unionByName(some.where("_h is null").select(*docs.columns))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,55 @@ def test_odd_rows(spark):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 3]
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark):
+    long = lambda a: " ".join(f"{a}{j}" for j in range(40))
+    docs = [(1, long("a"), 0), (5, long("a") + " more", 1), (5, long("b"), 2), (5, long("b"), 3), (5, None, 4), (5, "", 5), (6, long("b"), 6), (7, long("c"), 7), (7, long("d"), 8), (None, long("a"), 9)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, _h int")
+    kept = N.one_of_each(rows.withColumnRenamed("_h", "mark"))
+    got = sorted(r["mark"] for r in kept.collect())
+    assert [m for m in got if m not in (2, 3)] == [0, 4, 5, 7, 8, 9] and len(got) == 7
+
+
+def test_hot_keys_join_as_others_do(spark):
+    from tessera.llm import common
+
+    rows = common.publish(spark.range(4000).selectExpr("case when id < 2000 then 7 when id < 2100 then null else id end as k", "id as v"), "rows")
+    table = spark.range(0, 4000, 2).selectExpr("id + 1 as k", "id as w")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(table, "k", how).select("k", "v", "w").collect()), key=str)
+        assert sorted(map(tuple, common.join_hot(rows, table, ["k"], how).select("k", "v", "w").collect()), key=str) == want
+        plan = common.join_hot(rows, table, ["k"], how)._jdf.queryExecution().toString()
+        assert "Anti" in plan
+
+
+def test_pairs_come_from_the_traversal(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64)) for _ in range(3)]
+    bits, sizes = [np.frombuffer(N.bitmap(s), dtype=np.uint64) for s in sets], [len(s) for s in sets]
+    copies = [0, 0, 1, 2, 2, 2]
+    batch = pa.RecordBatch.from_pydict({"h": list(range(6)), "leader": [9, 9, 9, 7, 7, 7], "n": [sizes[i] for i in copies], "bits": [N.bitmap(sets[i]) for i in copies], "m": [sizes[0]] * 3 + [sizes[2]] * 3, "bits2": [N.bitmap(sets[0])] * 3 + [N.bitmap(sets[2])] * 3})
+    pairs = lambda: [tuple(p.values()) for b in N.led(90, 100)(iter([batch])) for p in b.to_pylist()]
+    inside = lambda: sorted(N.candidates([bits[i] for i in copies], [sizes[i] for i in copies], list(range(6)), 90, 100))
+    assert pairs() == [(0, 9), (1, 9), (3, 7), (4, 7), (5, 7)] and inside() == [(0, 1), (3, 4), (3, 5), (4, 5)]
+    monkeypatch.setattr(N, "traversed", lambda *_: np.zeros((0, 2), np.int64))
+    assert pairs() == [] and inside() == []
+
+
+@pytest.mark.parametrize("num,den", [(1, 10), (20, 100)])
+def test_low_similarities_lose_no_pair(num, den):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    whole = r.integers(0, 1 << 62, 900).astype(np.uint64)
+    sets = [np.unique(whole[:n]) for n in (70, 90, 130, 300, 500, 900)]
+    pairs = set(N.candidates([np.frombuffer(N.bitmap(s), dtype=np.uint64) for s in sets], [len(s) for s in sets], list(range(6)), num, den))
+    want = {(i, j) for j in range(6) for i in range(j) if N.links(sets[i], sets[j], num, den)}
+    assert want <= {(min(p), max(p)) for p in pairs} and len(want) > 5
+
+
 def test_empty(spark):
     assert N.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
