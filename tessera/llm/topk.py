@@ -9,17 +9,19 @@ vector, a covering radius and the distance to the parent a node. Queries descend
 node's routing distance is computed only if |d(q, parent) - d(node, parent)| - radius does not rule
 it out already; pages are then visited best first, each query in the order of its own bounds, until
 no page can hold a better entry, and entries whose stored distance to the page's routing vector
-rules them out are skipped. Scores are exact integers; bounds are floats with a safe margin. A
-partition returns its k best of each query, and the k best of those are merged.
+rules them out are skipped. Scores are exact integers; bounds are floats with a margin above the
+rounding of norms. A partition returns its k best of each query, and the k best of those are merged.
 
-Queries go to executors in blocks of at most `block_bytes`, a stated query set against all rows.
+Queries go to executors in blocks of at most `block_bytes`, a stated query set against all rows, one
+block after another: the driver holds one at a time.
 
 Defined cases: vectors that are null, empty or of another length than `dims` (by default the most
 frequent length), or that hold null or non-finite components take no part, nor do rows without an
 id; repeated ids are candidates of their own, of equal query ids the smallest vector asks, and a
 query's id is never its candidate; ties go to
 the smaller vec_id; fewer candidates than k give fewer rows; an empty table gives no rows.
-Components are taken to be below 2^20 in magnitude, so that every sum is exact in a double.
+Components may be of any size: where a sum may leave the exact range of a double, scores are summed
+as integers of any length; components end at 2^62 and scores at the limits of a long.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ SCALE = 1024
 PAGE = 64
 FAN = 16
 BLOCK_BYTES = 16 << 20
+TREE_BYTES = 64 << 20
 TOGETHER = 1024  # queries that search a tree in lockstep
-MARGIN = 1e-6
+MARGIN = 1e-6  # of the norms
+MOST, LONG = 1 << 62, (1 << 63) - 1
 
 
 def integers(table: DataFrame, dims: int | None) -> tuple[DataFrame, int]:
@@ -49,12 +53,12 @@ def integers(table: DataFrame, dims: int | None) -> tuple[DataFrame, int]:
     if dims is None:
         sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
         dims = sizes["d"] if sizes else 1
-    return rows.where(F.size("v") == dims).select("vec_id", F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("v")), dims
+    return rows.where(F.size("v") == dims).select("vec_id", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * SCALE, F.lit(float(MOST))), F.lit(-float(MOST)))).cast("long")).alias("v")), dims
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     flat = column.flatten() if not isinstance(column, pa.ChunkedArray) else column.combine_chunks().flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
 
 
 class MTree:
@@ -97,7 +101,7 @@ class MTree:
             node = np.take_along_axis(kids, d.argmin(axis=1)[:, None], 1)[:, 0]
         return node
 
-    def search(self, q: np.ndarray, score, worst: np.ndarray) -> None:
+    def search(self, q: np.ndarray, score, worst: np.ndarray, margin: float) -> None:
         """Calls score(queries, rows) for all entries that can be among the nearest; score keeps worst[i], query i's k-th distance so far."""
         centres, radii, _ = self.levels[-1]
         d = np.sqrt(((q[:, None, :] - centres) ** 2).sum(axis=2))
@@ -109,7 +113,7 @@ class MTree:
             parent = np.arange(len(centres)) // FAN
             # Stored distances first: only where they leave a node open is its own distance computed.
             cheap = np.maximum(low[:, parent], np.abs(d[:, parent] - apart) - radii)
-            open_ = cheap <= worst[:, None] + MARGIN
+            open_ = cheap <= worst[:, None] + margin
             low, d = np.full(cheap.shape, np.inf), np.full(cheap.shape, np.inf)
             for j in np.flatnonzero(open_.any(axis=0)).tolist():
                 i = np.flatnonzero(open_[:, j])
@@ -120,46 +124,54 @@ class MTree:
         live = np.arange(len(q))
         for turn in range(low.shape[1]):
             page = best[live, turn]
-            keep = (low[live, page] <= worst[live] + MARGIN) & np.isfinite(low[live, page])
+            keep = (low[live, page] <= worst[live] + margin) & np.isfinite(low[live, page])
             live, page = live[keep], page[keep]
             if not len(live):
                 return
             for p in np.unique(page).tolist():
                 i = live[page == p]
-                wanted = (np.abs(d[i, p][:, None] - self.stored[p]) <= worst[i][:, None] + MARGIN).any(axis=0)
+                wanted = (np.abs(d[i, p][:, None] - self.stored[p]) <= worst[i][:, None] + margin).any(axis=0)
                 if wanted.any():
                     score(i, self.pages[p][wanted])
 
 
-def searched(q_ids: np.ndarray, q: np.ndarray, dims: int, k: int, largest: float):
+def searched(q_ids: np.ndarray, q: np.ndarray, dims: int, k: int, largest: float, wide: bool):
+    """The k best of a partition for each query; `wide`: sums may leave the exact range of a double."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    none = np.iinfo(np.int64).min if wide else -np.inf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dims)) for b in batches if b.num_rows]
         if not got or not len(q):
             return
         ids, v = np.concatenate([i for i, _ in got]), np.concatenate([x for _, x in got])
-        lift = np.sqrt(np.maximum(0, largest - (v**2).sum(axis=1)))
-        tree = MTree(np.column_stack((v, lift)))
+        real = v.astype(float)
+        exact = v.astype(object) if wide else real
+        tree = MTree(np.column_stack((real, np.sqrt(np.maximum(0, largest - (real**2).sum(axis=1))))))
         for a in range(0, len(q), TOGETHER):
-            part, part_ids = q[a : a + TOGETHER], q_ids[a : a + TOGETHER]
-            square = (part**2).sum(axis=1) + largest
-            best_score = np.full((len(part), k), -np.inf)
+            part, part_ids = q[a : a + TOGETHER].astype(float), q_ids[a : a + TOGETHER]
+            asked = q[a : a + TOGETHER].astype(object) if wide else part
+            norms = (part**2).sum(axis=1)
+            square = norms + largest
+            best_score = np.full((len(part), k), none)
             best_id = np.full((len(part), k), np.iinfo(np.int64).max)
             worst = np.full(len(part), np.inf)
 
-            def score(i: np.ndarray, rows: np.ndarray, part=part, part_ids=part_ids, square=square, best_score=best_score, best_id=best_id, worst=worst) -> None:
-                s = part[i] @ v[rows].T
-                s[part_ids[i][:, None] == ids[rows]] = -np.inf
+            def score(i: np.ndarray, rows: np.ndarray, asked=asked, part_ids=part_ids, square=square, best_score=best_score, best_id=best_id, worst=worst) -> None:
+                s = asked[i] @ exact[rows].T
+                if wide:
+                    s = np.clip(s, -LONG, LONG).astype(np.int64)
+                s[part_ids[i][:, None] == ids[rows]] = none
                 s = np.concatenate((best_score[i], s), axis=1)
                 n = np.concatenate((best_id[i], np.broadcast_to(ids[rows], (len(i), len(rows)))), axis=1)
-                order = np.lexsort((n, -s), axis=1)[:, :k]
+                order = np.lexsort((n, ~s if wide else -s), axis=1)[:, :k]
                 best_score[i], best_id[i] = np.take_along_axis(s, order, 1), np.take_along_axis(n, order, 1)
                 last = best_score[i, k - 1]
-                worst[i] = np.where(np.isfinite(last), np.sqrt(np.maximum(0, square[i] - 2 * np.where(np.isfinite(last), last, 0))), np.inf)
+                full = last > none
+                worst[i] = np.where(full & (last.astype(float) > -LONG), np.sqrt(np.maximum(0, square[i] - 2 * np.where(full, last, 0).astype(float))), np.inf)
 
-            tree.search(np.column_stack((part, np.zeros(len(part)))), score, worst)
-            i, j = np.nonzero(np.isfinite(best_score))
+            tree.search(np.column_stack((part, np.zeros(len(part)))), score, worst, MARGIN * (np.sqrt(largest) + np.sqrt(norms.max()) + 1))
+            i, j = np.nonzero(best_score > none)
             yield pa.RecordBatch.from_arrays([pa.array(part_ids[i]), pa.array(best_id[i, j]), pa.array(best_score[i, j].astype(np.int64))], schema=schema)
 
     return common.releasing(run)
@@ -172,18 +184,21 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, dims: int | None =
     rows = common.publish(rows, "vectors")
     asked = integers(queries, dims)[0].groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = common.publish(asked, "queries")
-    stats = rows.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    largest, count = float(stats["m"] or 0), asked.count()
-    blocks = max(1, -(-count * dims * 8 // block_bytes))
-    # A partition per about 16 MB of vectors at least, so that its tree fits a task.
-    n = max(common.partitions(spark), -(-stats["n"] * dims * 8 // (64 << 20)))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    size = lambda t: t.agg(F.max(norm).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.greatest(F.array_max("v"), -F.array_min("v"))).alias("most")).first()
+    stats, of = size(rows), size(asked)
+    largest, wide = float(stats["m"] or 0), float(stats["most"] or 0) * float(of["most"] or 0) * dims >= 2**53
+    blocks = max(1, -(-of["n"] * dims * 8 // block_bytes))
+    # A partition per about TREE_BYTES of vectors at least, so that its tree fits a task.
+    n = max(common.partitions(spark), -(-stats["n"] * dims * 8 // TREE_BYTES))
     dealt = common.publish(rows.repartition(n), "dealt") if blocks > 1 else rows.repartition(n)
     out = None
     for b in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) == b)
         got = part.toArrow()  # about block_bytes
-        ids, q = got.column(0).to_numpy(), matrix(got.column(1), dims) if len(got) else np.zeros((0, dims))
-        one = dealt.mapInArrow(searched(ids, q, dims, k, largest), "query_id long, vec_id long, score long")
+        ids, q = got.column(0).to_numpy(), matrix(got.column(1), dims) if len(got) else np.zeros((0, dims), np.int64)
+        one = dealt.mapInArrow(searched(ids, q, dims, k, largest, wide), "query_id long, vec_id long, score long")
+        one = one if blocks == 1 else common.publish(one, "found")
         out = one if out is None else out.union(one)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

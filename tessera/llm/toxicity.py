@@ -43,6 +43,7 @@ NEIGHBOURS = 25
 THRESHOLD = 0.7
 FREQUENT = 512  # terms of many examples, held as a table
 BLOCK = 32  # examples of a block
+PROJECTED = 32  # dimensions of the space in which examples are dealt to blocks
 LEAD = 10  # blocks that give a first k-th cosine
 TOGETHER = 64  # documents searched at a time
 KEPT = 200_000  # scores of texts that a task remembers
@@ -117,7 +118,8 @@ class Index:
         column = self.column[term]
         table = np.zeros((n, len(often)))
         table[example[column >= 0], column[column >= 0]] = weight[column >= 0]
-        self.age = clustered(table, np.arange(n))  # the example at each place
+        few = table @ np.random.default_rng(0).standard_normal((len(often), PROJECTED))
+        self.age = clustered(few, np.arange(n))  # the example at each place
         place = np.argsort(self.age)
         self.ids, self.labels = [ids[e] for e in self.age], labels[self.age]
         self.vectors = [self.vectors[e] for e in self.age]
@@ -134,9 +136,6 @@ class Index:
         self.slope, self.shift = 1.0, 0.0
         self.rest = 0.5  # vote of documents without a neighbour
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"vectors": []}  # executors need the index only
-
     def weigh(self, t: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[t]
         norm = math.sqrt(float((w * w).sum()))
@@ -318,9 +317,13 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: i
     weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + evidence)
     # Where there is no vocabulary, nothing is learnt and no example keeps a word.
     vectors = [(np.searchsorted(vocab, w).astype(np.int32), c) if len(vocab) else (np.zeros(0, np.int32), c[:0]) for _, _, w, c in rows]
-    index = Index(vocab, weight, [r[0] for r in rows], labels_, vectors, k)
+    ids = [r[0] for r in rows]
+    del rows
+    index = Index(vocab, weight, ids, labels_, vectors, k)
     if p and n:
         index.calibrate()
+    index.vectors = []
+    common.give_back()
     return index
 
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -47,6 +48,21 @@ def test_every_text_repeats(spark, texts, copies):
     assert sum(len(g) > 1 for g in groups.values()) <= 7  # a cut at the end of each shard but the last
 
 
+@pytest.mark.parametrize("copies, groups, singles", [(2, 80, 0), (3, 55, 5), (3, 57, 0)])
+def test_no_group_is_cut_where_all_fit(spark, copies, groups, singles):
+    r = random.Random(copies)
+    rows = [(i, f"text {i % groups}" if i < copies * groups else f"single {i}") for i in range(copies * groups + singles)]
+    r.shuffle(rows)
+    got = sharding.sharded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    counts = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+    found = {}
+    for row in got:
+        if row["doc_id"] < copies * groups:
+            found.setdefault(row["doc_id"] % groups, set()).add(row["shard"])
+    assert sum(len(g) > 1 for g in found.values()) <= max(0, groups - sum(c // copies for c in counts))
+
+
 def test_full_shards_exchange():
     flow = sharding.circulation([[0, 5, 0, 0], [3, 0, 2, 0], [2, 0, 0, 4], [0, 0, 0, 0]], [0, 0, 0, 3])
     assert [row[:4] for row in flow[:4]] == [[0, 5, 0, 0], [3, 0, 2, 0], [2, 0, 0, 3], [0, 0, 0, 0]]
