@@ -5,7 +5,8 @@ prefix of turns (equal role and text) is the prompt and is rendered once; what f
 side is its completion. The result is one row a rendered turn: part prompt, chosen or rejected,
 its place and its first character's offset in the part, the segment and loss_mask, 1 where a model
 is to be trained (assistant turns of completions). A part's segments in order are its string;
-`assembled` joins them for pairs whose strings fit a row.
+`assembled` joins them for pairs whose strings fit a row (the query does not: one conversation may
+hold a third of all turns).
 
 Nothing gathers a conversation in one task: numbers and offsets are two-level (blocks of turns,
 then within a block), the prefix is a partial minimum, and only hashes of turns are compared.
@@ -71,19 +72,48 @@ def assembled(segments: DataFrame) -> DataFrame:
     return rows.select("pair_id", text("prompt"), text("chosen"), text("rejected"), mask("chosen"), mask("rejected"))
 
 
+def answered_otherwise(turns: DataFrame) -> DataFrame:
+    """turns(conv_id, turn, role, text) -> preference pairs (pair_id, side, turn, role, text).
+
+    Chosen is a conversation as it is. Rejected is the same up to its last assistant turn, where the
+    last assistant turn of its neighbour (2k and 2k + 1 are neighbours) answers instead, if there is one.
+    """
+    turns = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    turns = common.publish(turns, "turns")
+    last = turns.where("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    last = common.publish(last.select("pair_id", F.col("last.turn").alias("at"), F.col("last.text").alias("answer")), "last")
+    swapped = last.join(last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other")), "pair_id").select("pair_id", "at", "other")
+    before = common.join_hot(turns, swapped.select("pair_id", "at"), ["pair_id"], "left").where("at is null or turn is null or turn < at").drop("at")
+    answer = swapped.select("pair_id", F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    sides = [turns.withColumn("side", F.lit("chosen")), *(t.withColumn("side", F.lit("rejected")) for t in (before, answer))]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k (chosen) and 2k + 1 (rejected) make pair k."""
-    turns = common.table(spark, sf_dir, "conversations").where("conv_id is not null")
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected"))
-    return preferences(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    """Each conversation against the same one with its neighbour's last answer."""
+    return preferences(answered_otherwise(common.table(spark, sf_dir, "conversations")))
 
 
 OP2_SQL = """
-WITH turns AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
-         CASE WHEN ((conv_id % 2) + 2) % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
-         turn, coalesce(role, '') AS role, coalesce(text, '') AS text
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH all_turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (
+  SELECT pair_id, turn AS last_turn, coalesce(text, '') AS answer
+  FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC, coalesce(text, '') DESC) AS n
+        FROM all_turns WHERE role = 'assistant' AND turn IS NOT NULL)
+  WHERE n = 1),
+swapped AS (
+  SELECT a.pair_id, a.last_turn, b.answer AS other FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+sides AS (
+  SELECT pair_id, 'chosen' AS side, turn, role, text FROM all_turns
+  UNION ALL
+  SELECT t.pair_id, 'rejected', t.turn, t.role, t.text
+  FROM all_turns t LEFT JOIN swapped s ON s.pair_id = t.pair_id
+  WHERE s.last_turn IS NULL OR t.turn IS NULL OR t.turn < s.last_turn
+  UNION ALL
+  SELECT pair_id, 'rejected', last_turn, 'assistant', other FROM swapped),
+turns AS (
+  SELECT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
 numbered AS (
   SELECT pair_id, side, role, text,
          row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS place

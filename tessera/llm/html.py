@@ -8,11 +8,15 @@ on the exact conditional likelihood (forward-backward), on labelled pages that `
 writes from a seed: menus, headers, footers, sidebars, notices, adverts, forms and comments around
 and inside articles of several layouts. The weights (a few hundred numbers) go along with the scan.
 
-Pages are independent: one scan, no shuffle. Parsing is linear in the page.
+Pages are independent: one scan, no shuffle. Parsing is linear in the page: a quote in a tag that
+is never closed is a plain character, and no search that found nothing is made twice.
 
 Defined cases: null or empty html gives empty text; unclosed and stray tags are tolerated; scripts,
-styles, comments and other invisible elements have no blocks; a page without any main block gives
-empty text; repeated rows give equal rows; an empty table gives no rows; other columns are ignored.
+styles, text areas, comments, templates and noscript have no blocks, from the tag to its end tag (the
+first four to the end of the page if there is none); buttons, selections, frames, drawings and media
+are left out up to their end tag or the next block-level tag; a tag that the page's end cuts off is
+markup; a page without any main block gives empty text; repeated rows give equal rows; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +37,15 @@ from . import common
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-UNSEEN = frozenset("script style noscript template svg math iframe object canvas textarea select option button audio video".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements without text for a reader: all up to the end tag, and of the first three all of the page without one.
+RAW = "script style textarea noscript template noframes".split()
+HIDDEN = frozenset("svg iframe object canvas select option button audio video".split())
 #: Elements that an opening tag of the same kind closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")  # most tags; none that holds a bracket
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+STOP = re.compile(r">|=\s*([\"'])")
+ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 WORD = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
@@ -57,13 +65,58 @@ def ancestors(path: tuple[tuple[str, ...], ...]) -> tuple[str, ...]:
     return tuple(sorted({m for element in path for m in element}))
 
 
+class Tags:
+    """The tags of a page from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        i = self.page.find(what, at)
+        if i < 0:
+            self.missing.add(what)
+        return i
+
+    def end(self, at: int) -> int:
+        """The bracket that closes a tag, past quoted values that may hold brackets; -1 if there is none."""
+        while m := STOP.search(self.page, at):
+            if m[1] is None:
+                return m.start()
+            close = self.find(m[1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return -1
+
+    def at(self, i: int) -> tuple[int, str, str, str]:
+        """(end, slash, name, attributes) of what starts at the bracket i; no name: a comment or the like; end i: text."""
+        if m := TAG.match(self.page, i):
+            return m.end(), m[1], m[2].lower(), m[3]
+        for lead, close in (("<!--", "-->"), ("<!", ">"), ("<?", ">")):
+            if self.page.startswith(lead, i):
+                j = self.find(close, i + len(lead))
+                return (len(self.page) if j < 0 else j + len(close)), "", "", ""
+        if not (m := NAME.match(self.page, i)):
+            return i, "", "", ""
+        j = self.end(m.end())
+        return (len(self.page), "", "", "") if j < 0 else (j + 1, m[1], m[2].lower(), self.page[m.end() : j])
+
+    def behind(self, name: str, at: int) -> int:
+        """The place behind an element without text for a reader."""
+        m = None if name in self.missing else ENDS[name].search(self.page, at)
+        if m:
+            return m.end()
+        self.missing.add(name)
+        return len(self.page) if name in RAW[:3] else at
+
+
 def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
     """Leaf blocks (text, ancestors' marks, characters inside links) in page order."""
     out: list[tuple[str, tuple[tuple[str, ...], ...], int]] = []
     stack: list[str] = []
     path: list[tuple[str, ...]] = []
     text: list[str] = []
-    linked, in_link = 0, False
+    linked, in_link, hidden, tags = 0, False, "", Tags(page)
 
     def flush() -> None:
         nonlocal linked
@@ -74,40 +127,47 @@ def blocks(page: str) -> list[tuple[str, tuple[tuple[str, ...], ...], int]]:
             text.clear()
         linked = 0
 
-    at = 0
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    def add(piece: str) -> None:
+        nonlocal linked
+        if piece and not hidden:
             text.append(piece)
-            if in_link:
-                linked += len(piece)
-        at = m.end()
-        if m[2] is None:
-            continue
-        name, closing = m[2].lower(), m[1]
-        if name == "a":
-            in_link = not closing
-        elif name == "br":
-            text.append(" ")
-        elif name in UNSEEN:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            text.append(" ")
+            linked += len(piece) if in_link else 0
+
+    at = 0
+    while (i := page.find("<", at)) >= 0:
+        add(page[at:i])
+        at, closing, name, attributes = tags.at(i)
+        if at == i:
+            add("<")
+            at = i + 1
         elif name in BLOCKS:
+            hidden = ""
             flush()
             if closing:
                 if name in stack:
-                    i = len(stack) - 1 - stack[::-1].index(name)
-                    del stack[i:], path[i:]
-            elif name not in VOID:
+                    k = len(stack) - 1 - stack[::-1].index(name)
+                    del stack[k:], path[k:]
+            else:
                 shut = CLOSES.get(name, ())
                 while stack and (stack[-1] == "p" or stack[-1] in shut):
                     stack.pop(), path.pop()
-                stack.append(name)
-                path.append(marks(name, m[3]))
-    if at < len(page):
-        text.append(page[at:])
+                if name != "hr":
+                    stack.append(name)
+                    path.append(marks(name, attributes))
+        elif name in ENDS:
+            add(" ")
+            if not closing and not attributes.endswith("/"):
+                at = tags.behind(name, at)
+        elif hidden:
+            hidden = "" if closing and name == hidden else hidden
+        elif name in HIDDEN:
+            add(" ")
+            hidden = "" if closing or attributes.endswith("/") else name
+        elif name == "a":
+            in_link = not closing
+        elif name == "br":
+            add(" ")
+    add(page[at:])
     flush()
     return out
 

@@ -21,7 +21,8 @@ def test_equals_sql_in_small_blocks(spark, tmp_path, monkeypatch):
     want = c.execute(chat.OP2_SQL).fetchall()
     columns = ["pair_id", "part", "place", "start", "role", "segment", "loss_mask"]
     assert sorted(tuple(r[k] for k in columns) for r in got.collect()) == sorted(want)
-    small = chat.preferences(df.selectExpr("conv_id div 2 pair_id", "if(conv_id % 2 = 0, 'chosen', 'rejected') side", "turn", "role", "text"), block=1)
+    assert {r["part"] for r in got.where("pair_id = 0").collect()} == {"prompt", "chosen", "rejected"}
+    small = chat.preferences(chat.answered_otherwise(df), block=1)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got.collect()))
 
 
@@ -32,3 +33,14 @@ def test_strings(spark):
     assert rows[0]["chosen"] == "<|assistant|>\ngood<|end|>\n<|user|>\nt<|end|>\n"
     assert [tuple(s) for s in rows[0]["chosen_spans"]] == [(0, len("<|assistant|>\ngood<|end|>\n"))]
     assert rows[4]["chosen"] == "" and rows[4]["rejected"] == ""
+
+
+def test_neighbours_answer(spark):
+    long = "word " * 40_000
+    rows = [(0, 0, "user", "q", 1), (0, 1, "assistant", "mine", 2), (0, 2, "user", "thanks", 3), (1, 0, "user", "r", 4), (1, 1, "assistant", long, 5), (2, 0, "assistant", "alone", 6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place int")
+    got = {r["pair_id"]: r for r in chat.assembled(chat.preferences(chat.answered_otherwise(df))).collect()}
+    assert got[0]["prompt"] == "<|user|>\nq<|end|>\n" and got[0]["chosen"].startswith("<|assistant|>\nmine") and got[0]["rejected"] == f"<|assistant|>\n{long}<|end|>\n"
+    assert got[1]["prompt"] == "<|user|>\nr<|end|>\n" and got[1]["rejected"] == "<|assistant|>\nmine<|end|>\n"
+    assert got[2]["prompt"] == "<|assistant|>\nalone<|end|>\n" and got[2]["chosen"] == got[2]["rejected"] == ""
+    assert chat.preferences(chat.answered_otherwise(df.limit(0))).count() == 0

@@ -1,12 +1,16 @@
 """Decontamination, PII, toxicity, token counts, HTML: small cases and brute force."""
 
 import datetime
+import html
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import decontamination as D
@@ -347,6 +351,49 @@ def test_html_blocks():
     assert H.main_text(None, H.trained()) == "" and H.main_text("", H.trained()) == "" and H.main_text("<p>", H.trained()) == ""
 
 
+@pytest.mark.parametrize("element", ["iframe src='x'", "svg", "object data=x", "button", "canvas", "select", "template", "noscript", "math", "audio"])
+def test_html_unclosed_elements_swallow_no_paragraph(element):
+    page = f"<article><h1>Title of it</h1><p>First words.</p><{element}><p>Second words.</p></article>"
+    assert [b[0] for b in H.blocks(page)] == ["Title of it", "First words.", "Second words."]
+    name = element.split()[0]
+    if name != "math":
+        assert [b[0] for b in H.blocks(page.replace(f"<{element}>", f"<{element}>unseen</{name}>"))] == ["Title of it", "First words.", "Second words."]
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<a =' ", "<!", "<!--", "<", "<a ", "<svg>", "<template>", "<a x='>'><a \">", "</"])
+def test_html_parsing_is_linear(unit):
+    began = time.process_time()
+    H.blocks(unit * 50_000 + "<p>x</p>")
+    assert time.process_time() - began < 3
+
+
+def test_html_tags_with_quotes_and_brackets():
+    texts = lambda page: [b[0] for b in H.blocks(page)]
+    assert texts("<p title='a > b'>one</p><p don't>two</p><p class=\"x>three</p><p>four <b attr='<i>'>five</b> 1 < 2</p>") == ["one", "two", "three", "four five 1 < 2"]
+    assert texts("<p>" + "long " * 200_000 + "</p>") == [("long " * 200_000).strip()]
+    assert texts("<p>x<script>var a = '<p>no</p>'</script>y</p><style>p{}") == ["x y"]
+
+
+def test_main_text_of_the_pages_table():
+    """The table's articles are what lies inside its article element, split at block-level tags."""
+    table = pathlib.Path("/root/testdata/sf0.01/pages.parquet")
+    if not table.exists():
+        pytest.skip("no pages")
+    right = 0
+    rows = pq.read_table(table, columns=["html"]).column("html").to_pylist()
+    for page in rows:
+        inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+        parts = [re.sub(r"<[^>]+>", lambda m: " " if m[0].startswith("<br") else "", p) for p in re.split(r"</?(?:p|h[1-6]|ul|li|div)\b[^>]*>", inside)]
+        want = "\n\n".join(t for t in (re.sub(r"\s+", " ", html.unescape(p)).strip() for p in parts) if t)
+        right += H.main_text(page, H.trained()) == want
+    assert right / len(rows) > 0.98
+
+
+def test_html_columns_that_clash(spark):
+    rows = spark.createDataFrame([(1, "u", "<article><p>Some words here.</p></article>", "mine", 5)], "page_id int, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in H.extract(rows).collect()] == [(1, "u", "Some words here.", 16)]
+
+
 def test_html_held_out():
     crf, wrong, n = H.trained(), 0, 0
     for page, labels in H.labelled_pages(60, seed=1234):
