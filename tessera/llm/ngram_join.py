@@ -276,7 +276,9 @@ def links(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def starred(num: int, den: int):
+def compared(num: int, den: int):
+    """(u, v, set, set) -> the pairs that link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -456,7 +458,7 @@ def verified(docs: DataFrame, pairs: DataFrame, active: DataFrame, k: int, num:
     ends = pairs.select(F.col("u").alias("h")).union(pairs.select("v")).distinct()
     sets = fetched_sets(docs, ends.join(active, "h").select("h", "rep"), k)
     a, b = sets.toDF("u", "s"), sets.toDF("v", "s2")
-    return common.publish(pairs.join(a, "u").join(b, "v").select("u", "v", "s", "s2").mapInArrow(starred(num, den), "u long, v long"), "linked")
+    return common.publish(common.join_hot(pairs, b, ["v"]).join(a, "u").select("u", "v", "s", "s2").mapInArrow(compared(num, den), "u long, v long"), "linked")
 
 
 def classed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -477,16 +479,16 @@ def classed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     other = active.select(F.col("h").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("bits2"))
     verify = lambda pairs: verified(docs, pairs, active, k, num, den)
 
-    pairs = postings.where("h <> leader").select("h", "leader").distinct()
-    sides = pairs.join(active.select("h", "n", "bits"), "h").join(other, "leader").select("h", "leader", "n", "bits", "m", "bits2")
+    pairs = common.publish(postings.where("h <> leader").select("h", "leader").distinct(), "led")
+    sides = common.join_hot(pairs, other, ["leader"]).join(active.select("h", "n", "bits"), "h").select("h", "leader", "n", "bits", "m", "bits2")
     stars = verify(sides.mapInArrow(led(num, den), "u long, v long"))
     met = components(stars)
 
     # Shingles whose classes are not all in one component.
     of = met.select(F.col("node").alias("h"), "comp")
     lead = met.select(F.col("node").alias("leader"), F.col("comp").alias("lead"))
-    known = postings.join(of, "h", "left").join(lead, "leader", "left")
-    known = known.select("token", "h", F.coalesce("comp", "h").alias("comp"), (F.coalesce("comp", "h") == F.coalesce("lead", "leader")).alias("led"))
+    known = common.publish(common.join_hot(postings, of, ["h"], "left"), "known")
+    known = common.join_hot(known, lead, ["leader"], "left").select("token", "h", F.coalesce("comp", "h").alias("comp"), (F.coalesce("comp", "h") == F.coalesce("lead", "leader")).alias("led"))
     tokens = known.groupBy("token").agg(
         F.count(F.when(F.col("led"), 1)).alias("x"),
         F.count(F.when(~F.col("led"), 1)).alias("u"),

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -114,6 +115,15 @@ def test_low_similarities_lose_no_pair(num, den):
     assert want <= {(min(p), max(p)) for p in pairs} and len(want) > 5
 
 
+def test_published_tables_can_be_cleared(spark):
+    from tessera.llm import common
+
+    path = common.publish(spark.range(3), "three").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    common.clear(spark)
+    assert not os.path.exists(path) and not common._published
+
+
 def test_empty(spark):
     assert N.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
