@@ -25,6 +25,7 @@ go to the smaller example; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -41,11 +42,12 @@ EXAMPLES = 8000
 WORDS = 8 << 20  # distinct words of the examples, summed
 NEIGHBOURS = 25
 THRESHOLD = 0.7
-FREQUENT = 512  # terms of many examples, held as a table
+FREQUENT = 256  # terms of many examples, held as a table
 BLOCK = 32  # examples of a block
 PROJECTED = 32  # dimensions of the space in which examples are dealt to blocks
 LEAD = 10  # blocks that give a first k-th cosine
 TOGETHER = 64  # documents searched at a time
+POSTINGS = 1 << 20  # postings read at a time
 KEPT = 200_000  # scores of texts that a task remembers
 PACKED = 1024  # document frequencies in a row
 
@@ -61,7 +63,7 @@ def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "doc_id": batch.column(0),
                 "toxic": batch.column(1),
                 "words": pa.array([w.tobytes() for w, _ in found], pa.binary()),
-                "counts": pa.array([n.astype(np.int32).tobytes() for _, n in found], pa.binary()),
+                "counts": pa.array([zlib.compress(n.astype(np.int32).tobytes(), 1) for _, n in found], pa.binary()),
             }
         )
 
@@ -103,20 +105,23 @@ def clustered(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Labelled examples as a block-max inverted index; places are examples in the order of the blocks."""
+    """Labelled examples as a block-max inverted index; places are examples in the order of the blocks.
+
+    Examples' weights are rounded to single precision; all sums are in double precision.
+    """
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list[int], labels: np.ndarray, vectors: list[tuple], k: int):
         self.terms, self.idf, self.k = terms, idf, k
         self.n = n = len(ids)
-        self.vectors = [self.weigh(t, c) for t, c in vectors]
-        term = np.concatenate([t for t, _ in self.vectors]).astype(np.int64) if n else np.zeros(0, np.int64)
-        example = np.repeat(np.arange(n), [len(t) for t, _ in self.vectors])
-        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0)
+        self.vectors = [(t, w.astype(np.float32)) for t, w in (self.weigh(t, c) for t, c in vectors)]
+        term = np.concatenate([t for t, _ in self.vectors]) if n else np.zeros(0, np.int32)
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in self.vectors])
+        weight = np.concatenate([w for _, w in self.vectors]) if n else np.zeros(0, np.float32)
         often = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:FREQUENT]
         self.column = np.full(len(terms), -1, np.int32)
         self.column[often] = np.arange(len(often))
         column = self.column[term]
-        table = np.zeros((n, len(often)))
+        table = np.zeros((n, len(often)), np.float32)
         table[example[column >= 0], column[column >= 0]] = weight[column >= 0]
         few = table @ np.random.default_rng(0).standard_normal((len(often), PROJECTED))
         self.age = clustered(few, np.arange(n))  # the example at each place
@@ -124,15 +129,15 @@ class Index:
         self.ids, self.labels = [ids[e] for e in self.age], labels[self.age]
         self.vectors = [self.vectors[e] for e in self.age]
         blocks = -(-n // BLOCK)
-        padded = np.zeros((blocks * BLOCK, len(often)))
+        padded = np.zeros((blocks * BLOCK, len(often)), np.float32)
         padded[:n] = table[self.age]
         self.table = padded.reshape(blocks, BLOCK, len(often))
-        self.largest = self.table.max(axis=1, initial=0)
+        self.largest = self.table.max(axis=1, initial=0).astype(float)
         term, example, weight = (x[column < 0] for x in (term, example, weight))
         order = np.argsort(term, kind="stable")
         block, inside = np.divmod(place[example[order]], BLOCK)
         self.spot, self.weight = (block * TOGETHER * BLOCK + inside).astype(np.int32), weight[order]  # where its first document's score lies
-        self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
+        self.starts = np.searchsorted(term[order], np.arange(len(terms) + 1)).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
         self.rest = 0.5  # vote of documents without a neighbour
 
@@ -141,11 +146,20 @@ class Index:
         norm = math.sqrt(float((w * w).sum()))
         return t, w / norm if norm else w
 
+    def portions(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        """Bounds of portions of the rows: TOGETHER at most, with about POSTINGS postings."""
+        sizes = np.cumsum([0, *(int((self.starts[t + 1] - self.starts[t]).sum()) for t, _ in rows)])
+        i = 0
+        while i < len(rows):
+            j = min(i + TOGETHER, max(i + 1, int(np.searchsorted(sizes, sizes[i] + POSTINGS, "right")) - 1), len(rows))
+            yield i, j
+            i = j
+
     def add(self, score: np.ndarray, c: np.ndarray, asked: np.ndarray) -> None:
         """Adds the frequent terms' part in the (block, document) places asked for."""
         for b in np.flatnonzero(asked.any(axis=1)).tolist():
             i = np.flatnonzero(asked[b])
-            score[b, i] += c[i] @ self.table[b].T
+            score[b, i] += c[i] @ self.table[b].T.astype(float)
 
     def nearest(self, asked: list[tuple[np.ndarray, np.ndarray]], skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """For each (terms, weights), TOGETHER at most, the k (cosine, place) of largest cosine above 0, exactly; ties to the smaller example."""
@@ -198,9 +212,8 @@ class Index:
         """Takes the examples' rate for the rest, then fits a logistic curve to their leave-one-out votes."""
         self.rest = (float(self.labels.sum()) + 1) / (self.n + 2)
         votes = []
-        for i in range(0, self.n, TOGETHER):
-            part = self.vectors[i : i + TOGETHER]
-            votes += [self.vote(f) for f in self.nearest(part, list(range(i, i + len(part))))]
+        for i, j in self.portions(self.vectors):
+            votes += [self.vote(f) for f in self.nearest(self.vectors[i:j], list(range(i, j)))]
         x = np.array([math.log(v / (1 - v)) for v in np.clip(votes, 1e-3, 1 - 1e-3)])
         y = self.labels
         a, b = 1.0, 0.0
@@ -218,8 +231,8 @@ class Index:
     def scores(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, int | None]]:
         """(score, nearest example's id) of each row's (terms, counts)."""
         out = []
-        for i in range(0, len(rows), TOGETHER):
-            for found in self.nearest([self.weigh(*r) for r in rows[i : i + TOGETHER]]):
+        for i, j in self.portions(rows):
+            for found in self.nearest([self.weigh(*r) for r in rows[i:j]]):
                 v = min(1 - 1e-3, max(1e-3, self.vote(found)))
                 out.append((1 / (1 + math.exp(-(self.slope * math.log(v / (1 - v)) + self.shift))), self.ids[found[0][1]] if found else None))
         return out
@@ -296,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: i
         held += len(r["words"]) // 8
         if held > most_words:
             break
-        rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(r["counts"], dtype=np.int32)))
+        rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32)))
     rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
     labels_ = np.array([r[1] for r in rows], dtype=float)
     p, n = int(labels_.sum()), int(len(rows) - labels_.sum())
