@@ -10,28 +10,24 @@ from .arrays import SIDE, at, over_block
 
 #: Fixed values of the sixth generation: how blue, green and red come back from the filtered
 #: components, as weights of (blue, green, red); sums are modulo 256. One line a code.
-UNDO_6 = """
-100 010 001
-110 010 011
-100 110 111
-111 011 001
-101 111 112
-101 111 001
-110 010 001
-100 110 001
-100 010 011
-211 111 101
-101 011 001
-100 110 101
-100 111 101
-110 121 111
-111 011 112
-100 210 201
-"""
-
-
-def undo_weights() -> list[list[list[int]]]:
-    return [[[int(c) for c in word] for word in line.split()] for line in UNDO_6.split("\n") if line]
+UNDO_6 = [
+    [[1, 0, 0], [0, 1, 0], [0, 0, 1]],
+    [[1, 1, 0], [0, 1, 0], [0, 1, 1]],
+    [[1, 0, 0], [1, 1, 0], [1, 1, 1]],
+    [[1, 1, 1], [0, 1, 1], [0, 0, 1]],
+    [[1, 0, 1], [1, 1, 1], [1, 1, 2]],
+    [[1, 0, 1], [1, 1, 1], [0, 0, 1]],
+    [[1, 1, 0], [0, 1, 0], [0, 0, 1]],
+    [[1, 0, 0], [1, 1, 0], [0, 0, 1]],
+    [[1, 0, 0], [0, 1, 0], [0, 1, 1]],
+    [[2, 1, 1], [1, 1, 1], [1, 0, 1]],
+    [[1, 0, 1], [0, 1, 1], [0, 0, 1]],
+    [[1, 0, 0], [1, 1, 0], [1, 0, 1]],
+    [[1, 0, 0], [1, 1, 1], [1, 0, 1]],
+    [[1, 1, 0], [1, 2, 1], [1, 1, 1]],
+    [[1, 1, 1], [0, 1, 1], [1, 1, 2]],
+    [[1, 0, 0], [2, 1, 0], [2, 0, 1]],
+]
 
 
 def apply_weights() -> list[list[list[int]]]:
@@ -44,7 +40,7 @@ def apply_weights() -> list[list[list[int]]]:
         det = sum(m[0][c] * cofactor(0, c) for c in range(3))
         return [[cofactor(c, r) * det for c in range(3)] for r in range(3)]
 
-    return [inverse(m) for m in undo_weights()]
+    return [inverse(m) for m in UNDO_6]
 
 
 def weighed(weights: list[list[int]], parts: list[Column]) -> list[Column]:
@@ -56,7 +52,7 @@ def filter_6(code: int, b: Column, g: Column, r: Column) -> list[Column]:
 
 
 def unfilter_6(code: int, b: Column, g: Column, r: Column) -> list[Column]:
-    return weighed(undo_weights()[code], [b, g, r])
+    return weighed(UNDO_6[code], [b, g, r])
 
 
 def med_6(a: Column, b: Column, c: Column) -> Column:

@@ -186,10 +186,23 @@ def head_training(spark: SparkSession, d: str) -> DataFrame:
     return scored.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
 
 
-@query("q_golomb_states", f"{BLOCKS} SELECT block_id, CAST(64 AS BIGINT) AS n FROM blocks")
+RISE, FALL, _ = C.DEFAULT[0]
+MAPPED = "(CASE WHEN x.v >= 0 THEN 2 * x.v ELSE -2 * x.v - 1 END)"
+MIXED = f"(CASE WHEN s.a < {MAPPED} THEN ({MAPPED} * {16 * RISE} + s.a * {16 - RISE} + 8) // 16 ELSE ({MAPPED} * {16 * FALL} + s.a * {16 - FALL} + 8) // 16 END)"
+STATE = "STRUCT(mean BIGINT, width BIGINT, m BIGINT)[]"
+
+
+@query(
+    "q_golomb_states",
+    f"""{VALUES}, l AS (SELECT block_id, list({{'v': CAST(v AS BIGINT), 'a': CAST(0 AS BIGINT), 'out': CAST([] AS {STATE})}} ORDER BY i) AS l FROM r GROUP BY block_id),
+    o AS (SELECT block_id, list_reduce(l, lambda s, x: {{'v': CAST(0 AS BIGINT), 'a': CAST({MIXED} AS BIGINT), 'out': list_append(s.out, {{'mean': CAST(s.a // 16 AS BIGINT), 'width': CAST(length(ltrim(bin({MAPPED}), '0')) AS BIGINT), 'm': CAST({MAPPED} AS BIGINT)}})}},
+      {{'v': CAST(0 AS BIGINT), 'a': CAST(0 AS BIGINT), 'out': CAST([] AS {STATE})}}).out AS o FROM l)
+    SELECT block_id, step, mean, width, m FROM (SELECT block_id, unnest(range(0, 64)) AS step, unnest(o, recursive := true) FROM o)""",
+)
 def golomb_states(spark: SparkSession, d: str) -> DataFrame:
-    """The dump of (mean, width, value) at each step of the plain fold; here counted."""
-    return X.blocks(spark, d).select("block_id", F.size(C.plain_states(A.residual("px", 4), 0)).cast("long").alias("n"))
+    """The dump of mean, width and mapped value at each step of the plain fold."""
+    rows = X.blocks(spark, d).select("block_id", F.posexplode(C.plain_states(A.residual("px", 4), 0)).alias("step", "s"))
+    return rows.select("block_id", F.col("step").cast("long").alias("step"), F.col("s.mean").cast("long").alias("mean"), F.col("s.width").cast("long").alias("width"), F.col("s.m").cast("long").alias("m"))
 
 
 def round_trips(spark: SparkSession, d: str, form: str) -> DataFrame:

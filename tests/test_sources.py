@@ -76,6 +76,39 @@ def test_scan_orders_are_permutations():
     assert arrays.scan_orders()["hilbert"][:9] == [0, 8, 9, 1, 2, 3, 11, 10, 18]
 
 
+# The scan orders that rules build, by place in the block.
+HILBERT = [
+    0, 8, 9, 1, 2, 3, 11, 10,
+    18, 19, 27, 26, 25, 17, 16, 24,
+    32, 33, 41, 40, 48, 56, 57, 49,
+    50, 58, 59, 51, 43, 42, 34, 35,
+    36, 37, 45, 44, 52, 60, 61, 53,
+    54, 62, 63, 55, 47, 46, 38, 39,
+    31, 23, 22, 30, 29, 28, 20, 21,
+    13, 12, 4, 5, 6, 14, 15, 7,
+]
+DIAGONAL = [
+    0, 1, 8, 16, 9, 2, 3, 10,
+    17, 24, 32, 25, 18, 11, 4, 5,
+    12, 19, 26, 33, 40, 48, 41, 34,
+    27, 20, 13, 6, 7, 14, 21, 28,
+    35, 42, 49, 56, 57, 50, 43, 36,
+    29, 22, 15, 23, 30, 37, 44, 51,
+    58, 59, 52, 45, 38, 31, 39, 46,
+    53, 60, 61, 54, 47, 55, 62, 63,
+]
+
+
+def test_scan_orders_equal_the_fixed_tables():
+    orders = arrays.scan_orders()
+    mirror = lambda order: [order[y * 8 + 7 - x] for y in range(8) for x in range(8)]
+    turned = lambda order: [order[x * 8 + y] for y in range(8) for x in range(8)]
+    assert orders["hilbert"] == HILBERT and orders["diagonal"] == DIAGONAL and orders["antidiagonal"] == mirror(DIAGONAL)
+    assert orders["horizontal"][:18] == [0, 1, 2, 3, 4, 5, 6, 7, 15, 14, 13, 12, 11, 10, 9, 8, 16, 17]
+    assert orders["vertical"][:10] == [0, 8, 16, 24, 32, 40, 48, 56, 57, 49]
+    assert orders["flat"] == turned(orders["steep"]) and orders["flat_up"] == [orders["steep"][x * 8 + 7 - y] for y in range(8) for x in range(8)]
+
+
 def test_golomb_tables():
     assert len(costs.DEFAULT) == 8 and all(sum(c) == 1024 for _, _, c in costs.DEFAULT)
     assert len(costs.parse_golomb("# note\n" + "8 8 | 1024 0 0 0 0 0 0 0 0 ; x\n")) == 8
