@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+BUCKETS = 64  # of a table by key, times the shuffle partitions
+
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """The name of the first rule that holds, else null; a rule of unknown truth does not hold."""
@@ -63,6 +65,18 @@ def pack_offsets(parts: DataFrame, key: str, count: str, bucket: Column, offset:
     return out.withColumn(offset, (F.col("_before") + F.col("_mine")).cast("long")).drop("_b", "_mine", "_before")
 
 
+def even_buckets(rows: DataFrame, key: str) -> Column:
+    """Buckets of equal width over a whole-number key: BUCKETS a partition, however many rows there are."""
+    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    width = -(-(hi - lo + 1) // (BUCKETS * shuffle_partitions(rows)))
+    return F.floor((F.col(key) - lo) / width)
+
+
+def shuffle_partitions(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def numbered(rows: DataFrame, order: list[Column], bucket: Column, name: str = "row_id") -> DataFrame:
     """Dense row numbers from 0 in the given order; `bucket` never falls along it."""
     return pack_offsets(rows.withColumn("_one", F.lit(1)).withColumn("_order", F.struct(*order)), "_order", "_one", bucket, name).drop("_one", "_order")
@@ -86,6 +100,7 @@ def sampled(rows: DataFrame, key: str, seed: int, keep: int) -> DataFrame:
 
 def split(rows: DataFrame, key: str, seed: int, share: float) -> DataFrame:
     """Adds place (0 first) in a seeded shuffle and part: train for the first `share`, else valid."""
-    out = numbered(rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))), [F.col("_h"), F.col(key)], F.substring("_h", 1, 2), "place").drop("_h")
+    digits = len(f"{BUCKETS * shuffle_partitions(rows):x}")  # of the hash: that many buckets at least
+    out = numbered(rows.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))), [F.col("_h"), F.col(key)], F.substring("_h", 1, digits), "place").drop("_h")
     total = out.agg(F.count(F.lit(1)).alias("_total"))
     return out.crossJoin(F.broadcast(total)).withColumn("part", F.when(F.col("place") < F.floor(F.col("_total") * share), F.lit("train")).otherwise(F.lit("valid"))).drop("_total")  # one row

@@ -32,10 +32,11 @@ def label_records(best: DataFrame, key: str) -> DataFrame:
     return rows.select(*out)
 
 
-def projected_minima(cand: DataFrame, key: str, heads: dict[str, Column]) -> DataFrame:
-    """(key, head, class, bits): the least bits with each value of each head, by one pass over exploded heads."""
-    pairs = F.array(*(F.struct(F.lit(h).alias("head"), c.cast("long").alias("class")) for h, c in heads.items()))
-    return cand.select(key, "bits", F.explode(pairs).alias("p")).groupBy(key, "p.head", "p.class").agg(F.min("bits").alias("bits"))
+def projected_minima(cand: DataFrame, key: str, heads: dict[str, tuple[Column, int]]) -> DataFrame:
+    """(key, head, class, bits): the least bits with each class of each head (column, classes): one aggregate a block, then rows of what was met."""
+    least = {(h, v): F.min(F.when(c == v, F.col("bits"))).alias(f"_{h}_{v}") for h, (c, n) in heads.items() for v in range(n)}
+    pairs = F.array(*(F.struct(F.lit(h).alias("head"), F.lit(v).cast("long").alias("class"), F.col(f"_{h}_{v}").alias("bits")) for h, v in least))
+    return cand.groupBy(key).agg(*least.values()).select(key, F.explode(pairs).alias("p")).where("p.bits is not null").select(key, "p.*")
 
 
 def conditional_minima(cand: DataFrame, key: str, by: str, values: int, when: str) -> DataFrame:
@@ -44,10 +45,11 @@ def conditional_minima(cand: DataFrame, key: str, by: str, values: int, when: st
 
 
 def top_predictors_minima(cand: DataFrame, key: str, keep: int = 2) -> DataFrame:
-    """Predictors by (least energy, number); of the first `keep` the least bits of each filter."""
-    energy = cand.groupBy(key, "predictor").agg(F.min("energy").alias("energy"))
-    first = energy.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("energy", "predictor"))).where(F.col("rn") <= keep)
-    return cand.join(first.select(key, "predictor"), [key, "predictor"], "left_semi").groupBy(key, "filter_code").agg(F.min("bits").alias("bits"))
+    """Predictors by (least energy, number); of the first `keep` the least bits of each filter. One shuffle, by block, serves all steps."""
+    rows = cand.select(key, "predictor", "filter_code", "energy", "bits").repartition(key)
+    rows = rows.withColumn("least", F.min("energy").over(Window.partitionBy(key, "predictor")))
+    rows = rows.withColumn("place", F.dense_rank().over(Window.partitionBy(key).orderBy("least", "predictor"))).where(F.col("place") <= keep)
+    return rows.groupBy(key, "filter_code").agg(F.min("bits").alias("bits"))
 
 
 def pruned(cand: DataFrame, key: str, order: list[str], factor: float = 1.3) -> DataFrame:

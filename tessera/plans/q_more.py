@@ -138,7 +138,8 @@ def iso_time(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q_row_numbers", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders")
 def row_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return D.numbered(X.table(spark, d, "orders").select("o_orderkey"), [F.col("o_orderkey")], F.floor(F.col("o_orderkey") / 4096))
+    rows = X.table(spark, d, "orders").select("o_orderkey")
+    return D.numbered(rows, [F.col("o_orderkey")], D.even_buckets(rows, "o_orderkey"))
 
 
 def layer(v: Column, n_in: int, n_out: int, seed: int) -> Column:

@@ -34,7 +34,7 @@ def best_second(spark: SparkSession, d: str) -> DataFrame:
 )
 def projected_minima(spark: SparkSession, d: str) -> DataFrame:
     heads = {"predictor": F.col("predictor"), "cf_perm": S.filter_perm("filter_code"), "cf_primary": S.filter_primary("filter_code"), "cf_secondary": S.filter_secondary("filter_code"), "reorder": F.col("reorder"), "interleave": F.col("interleave")}
-    return search.projected_minima(X.candidates(spark, d), "block_id", heads)
+    return search.projected_minima(X.candidates(spark, d), "block_id", {h: (c, X.HEADS[h]) for h, c in heads.items()})
 
 
 @query("q_min_by_filter_pivot", f"{CAND} SELECT block_id, " + ", ".join(f"coalesce(min(bits) FILTER (WHERE predictor = {v} AND interleave = {w}), -1) AS predictor{v}_interleave{w}" for w in (0, 1) for v in range(8)) + " FROM cand GROUP BY block_id")

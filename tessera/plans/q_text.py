@@ -104,8 +104,9 @@ def fingerprint(spark: SparkSession, d: str) -> DataFrame:
 @query("q_zip_join", "WITH a AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents), b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS row_id FROM benchmark) SELECT row_id, doc_id, item_id FROM a JOIN b USING (row_id)")
 def zip_join(spark: SparkSession, d: str) -> DataFrame:
     """Two tables joined by place: dense numbers on both sides, then an equi-join."""
-    a = D.numbered(X.table(spark, d, "documents").select("doc_id"), [F.col("doc_id")], F.floor(F.col("doc_id") / 4096))
-    b = D.numbered(X.table(spark, d, "benchmark").select("item_id"), [F.col("item_id")], F.floor(F.col("item_id") / 4096))
+    docs, items = X.table(spark, d, "documents").select("doc_id"), X.table(spark, d, "benchmark").select("item_id")
+    a = D.numbered(docs, [F.col("doc_id")], D.even_buckets(docs, "doc_id"))
+    b = D.numbered(items, [F.col("item_id")], D.even_buckets(items, "item_id"))
     return a.join(b, "row_id").select("row_id", "doc_id", "item_id")
 
 
@@ -122,7 +123,7 @@ PACK = "WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY con
 
 def packed(spark: SparkSession, d: str) -> DataFrame:
     parts = X.table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return D.pack_offsets(parts, "conv_id", "n", F.floor(F.col("conv_id") / 4096), "start")
+    return D.pack_offsets(parts, "conv_id", "n", D.even_buckets(parts, "conv_id"), "start")
 
 
 @query("q_pack_offsets", f"{PACK} SELECT conv_id, n, start FROM o")
