@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents to packed sequences in five stages."""
+"""The corpus pipeline: documents to packed sequences in five stages.
+
+Defined cases, for all stages: rows with a null id pass the filters by their text alone; null and
+empty texts are clean, alone and without values, and pack as their end id; repeated rows go or stay
+together, but for the join, which keeps one of each; an empty table stays empty; further columns
+stay up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -9,28 +15,28 @@ from tessera.llm import common
 from tessera.llm.decontamination import without_contaminated
 from tessera.llm.ngram_join import one_of_each
 from tessera.llm.packing import pack
-from tessera.llm.pii import pseudonyms, session_key
+from tessera.llm.pii import pseudonymised, session_key
 from tessera.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go."""
+    """Documents predicted toxic go; without usable labels all stay."""
     return without_toxic(docs, common.table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
+    """One document of each group of near copies stays, that of the smallest id: five words, a similarity of 0.8 or more."""
     return one_of_each(docs, k=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's words go."""
+    """Documents that hold half of a benchmark item's words in tiles go; without a benchmark all stay."""
     return without_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; n_chars follows the text."""
-    out = pseudonyms(docs, session_key(spark)).drop("n_pii")
+    out = pseudonymised(docs, session_key(spark))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*docs.columns)

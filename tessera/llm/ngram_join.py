@@ -195,6 +195,8 @@ def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = np.concatenate((t[1:] == t[:-1], [False]))
     same[1:] |= same[:-1].copy()
     t, h = t[same], h[same]
+    if not len(t):
+        return
     order = np.lexsort((h, t))
     t, h = t[order], h[order]
     new = np.concatenate(([True], (t[1:] != t[:-1]) | (h[1:] != h[:-1])))

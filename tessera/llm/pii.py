@@ -255,7 +255,13 @@ def pseudonymiser(key: bytes) -> Callable[[str], tuple[str, int]]:
 LEADS = ("token", "key", "secret", "password")
 
 
-def rewritten(key: bytes, column: int, schema: T.StructType):
+def led(text: str) -> bool:
+    """Whether a secret's lead word may be in the text."""
+    low = text.lower()
+    return any(w in low for w in LEADS)
+
+
+def rewritten(key: bytes, column: int, schema: T.StructType, counted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = pseudonymiser(key)
         for whole in batches:
@@ -267,23 +273,33 @@ def rewritten(key: bytes, column: int, schema: T.StructType):
                 counts, values, changed = np.zeros(len(texts), np.int32), texts.to_pylist(), False
                 for r, text in enumerate(values):
                     # Every value has a digit or an at sign, or is a secret of letters alone after its lead word.
-                    if text and (some[r] or any(w in low for low in (text.lower(),) for w in LEADS)):
+                    if text and (some[r] or led(text)):
                         new, n = one(text)
                         if n:
                             values[r], counts[r], changed = new, n, True
                 if changed:
                     texts = pa.array(values, texts.type)
                 columns = [texts if i == column else batch.column(i) for i in range(batch.num_columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(counts)] if counted else [])], names=[f.name for f in schema])
 
     return common.releasing(run)
 
 
+def with_string_text(docs: DataFrame) -> DataFrame:
+    return common.small_batches(docs).select(*(F.col("text").cast("string").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
+    """All columns, with the text's personal values permuted under the key."""
+    docs = with_string_text(docs)
+    return docs.mapInArrow(rewritten(key, docs.columns.index("text"), docs.schema, False), docs.schema)
+
+
 def pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
-    """All columns, with the text's personal values permuted under the key, and n_pii."""
-    docs = common.small_batches(docs).select(*(F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "n_pii"))
+    """The same with n_pii, the count of values."""
+    docs = with_string_text(docs.drop("n_pii"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_pii", T.IntegerType())])
-    return docs.mapInArrow(rewritten(key, docs.columns.index("text"), schema), schema)
+    return docs.mapInArrow(rewritten(key, docs.columns.index("text"), schema, True), schema)
 
 
 def session_key(spark: SparkSession) -> bytes:

@@ -71,3 +71,19 @@ def test_run(spark, corpus):
         t = np.array([*tokenizer.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids, 1], dtype="<u4")
         if r["doc_id"] < 904:
             assert zlib.crc32(t[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    schema = SCHEMA + ", h long, row string, n_pii int, score double"
+    odd = [(None, "some words of no id at all", "en", "a", 3), (None, None, None, None, None), (1, "", "en", "a", 0), (2, "word " * 50_000, "en", "a", 1), (3, "one two three four five six", "en", "a", 1), (3, "one two three four five six", "en", "a", 1), (4, None, None, None, None)]
+    docs = spark.createDataFrame([(*r, 7, "r", 8, 0.5) for r in odd], schema)
+    for at, left in ((docs, 6), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, str(tmp_path))
+            assert at.columns == docs.columns, name
+            at = spark.createDataFrame(at.collect(), schema)
+        assert at.count() == left
+        assert (corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).count() > 0) == (left > 0)
