@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 
 #: Rows and bytes of an Arrow batch of whole texts: a batch is held several times over on its way to Python and back.
-BATCH, BATCH_BYTES = 1000, "16m"
+BATCH, BATCH_BYTES = 500, "4m"
 
 
 def give_back() -> None:
