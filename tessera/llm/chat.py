@@ -11,7 +11,7 @@ hold a third of all turns).
 Nothing gathers a conversation in one task: numbers and offsets are two-level (blocks of turns,
 then within a block), the prefix is a partial minimum, and only hashes of turns are compared.
 
-Defined cases: turns are ordered by turn (null first), then role and text; repeated rows are turns
+Defined cases: turns are ordered by turn (null first), then role and md5 of the text; repeated rows are turns
 of their own; a null role renders as an empty role, a null text as an empty text; a pair with one
 side only has an empty prompt and that side as a completion; equal conversations are all prompt;
 turns without a pair are left out; an empty table gives no rows; other columns are ignored.
@@ -29,19 +29,22 @@ OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
 
 def preferences(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """turns(pair_id, side 'chosen' or 'rejected', turn, role, text) -> (pair_id, part, place, start, role, segment, loss_mask)."""
+    """turns(pair_id, side 'chosen' or 'rejected', turn, role, text) -> (pair_id, part, place, start, role, segment, loss_mask).
+
+    Turns that are known to be in the shared prefix need no text on the rejected side if a column `digest` holds its md5.
+    """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    turns = turns.where("pair_id is not null and side in ('chosen', 'rejected')").select("pair_id", "side", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), role.alias("role"), text.alias("text"))
+    turns = turns.where("pair_id is not null and side in ('chosen', 'rejected')").select("pair_id", "side", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("turn"), role.alias("role"), text.alias("text"), (F.col("digest") if "digest" in turns.columns else F.md5(text.cast("binary"))).alias("digest"))
     turns = turns.withColumn("_b", F.floor(F.col("turn") / block))
     side = ["pair_id", "side"]
     ahead = Window.partitionBy(*side).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = turns.groupBy(*side, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*side, "_b", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead"))
-    numbered = turns.withColumn("_in", F.row_number().over(Window.partitionBy(*side, "_b").orderBy("turn", "role", "text"))).join(counts, [*side, "_b"])
-    numbered = common.publish(numbered.select("pair_id", "side", (F.col("_ahead") + F.col("_in") - 1).alias("place"), "role", "text"), "turns")
+    numbered = turns.withColumn("_in", F.row_number().over(Window.partitionBy(*side, "_b").orderBy("turn", "role", "digest"))).join(counts, [*side, "_b"])
+    numbered = common.publish(numbered.select("pair_id", "side", (F.col("_ahead") + F.col("_in") - 1).alias("place"), "role", "text", "digest"), "turns")
 
     same = numbered.groupBy("pair_id", "place").agg(
         F.count(F.lit(1)).alias("n"),
-        *(f(F.xxhash64(F.lit(s), "role", "text")).alias(f"{name}{s}") for s in (1, 2) for name, f in (("lo", F.min), ("hi", F.max))),
+        *(f(F.xxhash64(F.lit(s), "role", "digest")).alias(f"{name}{s}") for s in (1, 2) for name, f in (("lo", F.min), ("hi", F.max))),
     )
     equal = F.expr("n = 2 and lo1 = hi1 and lo2 = hi2")
     shared = same.groupBy("pair_id").agg(F.coalesce(F.min(F.when(~equal, F.col("place"))), F.max("place") + 1).alias("shared"))
@@ -79,12 +82,14 @@ def answered_otherwise(turns: DataFrame) -> DataFrame:
     last assistant turn of its neighbour (2k and 2k + 1 are neighbours) answers instead, if there is one.
     """
     turns = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    turns = common.publish(turns, "turns")
+    turns = turns.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    light = common.publish(turns.drop("text"), "light")
     last = turns.where("role = 'assistant' and turn is not null").groupBy("pair_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     last = common.publish(last.select("pair_id", F.col("last.turn").alias("at"), F.col("last.text").alias("answer")), "last")
     swapped = last.join(last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other")), "pair_id").select("pair_id", "at", "other")
-    before = common.join_hot(turns, swapped.select("pair_id", "at"), ["pair_id"], "left").where("at is null or turn is null or turn < at").drop("at")
-    answer = swapped.select("pair_id", F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"))
+    before = common.join_hot(light, swapped.select("pair_id", "at"), ["pair_id"], "left").where("at is null or turn is null or turn < at")
+    before = before.select("pair_id", "turn", "role", F.lit(None).cast("string").alias("text"), "digest")  # all of it is in the shared prefix
+    answer = swapped.select("pair_id", F.col("at").alias("turn"), F.lit("assistant").alias("role"), F.col("other").alias("text"), F.md5(F.col("other").cast("binary")).alias("digest"))
     sides = [turns.withColumn("side", F.lit("chosen")), *(t.withColumn("side", F.lit("rejected")) for t in (before, answer))]
     return sides[0].unionByName(sides[1]).unionByName(sides[2])
 
@@ -116,7 +121,7 @@ turns AS (
   SELECT pair_id, side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM sides),
 numbered AS (
   SELECT pair_id, side, role, text,
-         row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) - 1 AS place
+         row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS place
   FROM turns),
 shared AS (
   SELECT pair_id, coalesce(min(CASE WHEN NOT same THEN place END), max(place) + 1) AS shared

@@ -91,7 +91,7 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _published.append(path)
     return spark.read.schema(schema).parquet(path)
 
