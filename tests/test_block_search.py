@@ -95,3 +95,26 @@ def test_queries_search_all_scans(spark, monkeypatch):
     assert any(r["best_rank"] // 2 % 8 for r in got)
     sizes = {r["block_id"]: r["bytes"] for r in q_more.round_trips(spark, "", "gen8").collect()}
     assert sizes == {i: len(gen8.encode(b.reshape(3, 8, 8).transpose(1, 2, 0).astype(np.uint8))) for i, b in enumerate(blocks()[:3])}
+
+
+def test_sequences_shared_by_codes_are_costed_once(monkeypatch):
+    """A flat block keeps all 768 heads; their components have 24 forms a predictor, and three places."""
+    sizes = []
+    fold = B.fold
+    monkeypatch.setattr(B, "fold", lambda m, orders, row, by_runs: sizes.append((row, m.shape[1])) or fold(m, orders, row, by_runs))
+    assert B.search(np.zeros((1, 3, 64), np.int64), [0])[0][6] == 1536
+    assert [n for row, n in sizes if row < 6] == [24, 24, 168, 168, 96, 96]
+
+
+def test_values_beyond_the_tables():
+    far = np.random.default_rng(2).integers(-30000, 30000, (1, 3, 64))
+    far[0, :, 20:30] = 0
+    got = B.search(far, [0, 5])[0]
+    best, tried = one_by_one(far[0], [0, 5])
+    assert [(got[1], got[0]), (got[4], got[3])] == best and got[6] == tried
+
+
+def test_blocks_are_dealt_to_even_tasks(spark):
+    one = spark.createDataFrame([(i, [i] * 64, [0] * 64, [1] * 64) for i in range(64)], "block_id long, c0 array<int>, c1 array<int>, c2 array<int>").coalesce(1)
+    sizes = B.dealt(one).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) >= 8 and max(sizes) <= 16
