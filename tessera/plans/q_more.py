@@ -211,21 +211,24 @@ def round_trips(spark: SparkSession, d: str, form: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
+    from ..operators.block_search import TOGETHER, dealt
     from ..sources import gen8, images
 
-    encode = images.ENCODERS[form] if form != "gen8" else gen8.encode
+    def encode_all(block):
+        return gen8.encode_all(block) if form == "gen8" else [images.ENCODERS[form](image) for image in block]
 
     def run(batches):
         for batch in batches:
-            planes = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8) for c in (1, 2, 3)]
-            sizes, equal = [], []
-            for image in np.stack(planes, axis=3).astype(np.uint8):
-                raw = encode(image)
-                sizes.append(len(raw))
-                equal.append(int((images.decode(raw)[:, :, -3:] == image).all()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(equal, pa.int64())], names=["block_id", "bytes", "equal"])
-
-    return X.planes(spark, d).select("block_id", "c0", "c1", "c2").mapInArrow(run, "block_id long, bytes long, equal long")
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                planes = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 8, 8) for c in (1, 2, 3)]
+                block = np.stack(planes, axis=3).astype(np.uint8)
+                files = encode_all(block)
+                equal = [int((images.decode(raw)[:, :, -3:] == image).all()) for raw, image in zip(files, block, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, files), pa.int64()), pa.array(equal, pa.int64())], names=["block_id", "bytes", "equal"])
+
+    rows = X.planes(spark, d).select("block_id", "c0", "c1", "c2")
+    return (dealt(rows) if form == "gen8" else rows).mapInArrow(run, "block_id long, bytes long, equal long")
 
 
 @query("q_codec_bmp", "SELECT vec_id AS block_id, CAST(246 AS BIGINT) AS bytes, CAST(1 AS BIGINT) AS equal FROM embeddings")

@@ -97,6 +97,19 @@ def test_queries_search_all_scans(spark, monkeypatch):
     assert sizes == {i: len(gen8.encode(b.reshape(3, 8, 8).transpose(1, 2, 0).astype(np.uint8))) for i, b in enumerate(blocks()[:3])}
 
 
+def test_many_small_images_are_searched_together(monkeypatch):
+    from tessera.sources import gen8
+
+    calls = []
+    search = B.search_windows
+    monkeypatch.setattr(gen8.B, "search_windows", lambda windows, scans: calls.append(len(windows)) or search(windows, scans))
+    images = [b.reshape(3, 8, 8).transpose(1, 2, 0).astype(np.uint8) for b in blocks()] + [np.full((5, 11, 4), 9, np.uint8)]
+    files = gen8.encode_all(images, [0, 3])
+    assert calls == [4, 1, 1]
+    assert files == [gen8.encode(i, [0, 3]) for i in images]
+    assert all((gen8.decode(f) == i).all() for f, i in zip(files, images, strict=True))
+
+
 def test_sequences_shared_by_codes_are_costed_once(monkeypatch):
     """A flat block keeps all 768 heads; their components have 24 forms a predictor, and three places."""
     sizes = []
