@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 BUCKETS = 64  # of a table by key, times the shuffle partitions
+ROWS = 1 << 20  # of a partition that is sorted by key
 
 
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
@@ -39,13 +40,23 @@ def mismatches(a: DataFrame, b: DataFrame, key: str, pairs: dict[str, tuple[str,
     return a.join(b, key).agg(F.count(F.lit(1)).alias("rows"), *(F.count_if(~F.col(x).eqNullSafe(F.col(y))).alias(n) for n, (x, y) in pairs.items()))
 
 
+def by_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows dealt by key to as many partitions as keep the even share of each at ROWS, so that a task's sort does not grow with the table."""
+    return rows.repartition(max(shuffle_partitions(rows), -(-rows.count() // ROWS)), *key)
+
+
 def runs(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal neighbours within a key: (key, run from 1, value, length)."""
+    """Runs of equal neighbours within a key: (key, run from 1, value, length).
+
+    A run comes from its last row, in the windows of one sort: no table of runs is held.
+    """
     w = Window.partitionBy(*key).orderBy(*order)
-    change = (~F.lag(value).over(w).eqNullSafe(F.col(value)) | (F.row_number().over(w) == 1)).cast("long")
-    marked = rows.select(*key, *order, F.col(value).alias("value"), change.alias("change"))
-    numbered = marked.withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*key, "run").agg(F.any_value("value").alias("value"), F.count(F.lit(1)).alias("length"))
+    here, place = F.struct(F.col("value")), F.row_number().over(w)  # a struct is null beyond the ends only
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    narrow = by_key(rows.select(*key, *order, F.col(value).alias("value")), key)
+    marked = narrow.select("*", place.alias("place"), (~F.lag(here).over(w).eqNullSafe(here)).alias("first"), (~F.lead(here).over(w).eqNullSafe(here)).alias("last"))
+    found = marked.select(*key, "value", "place", "last", F.count_if("first").over(so_far).alias("run"), F.max(F.when(F.col("first"), F.col("place"))).over(so_far).alias("start"))
+    return found.where("last").select(*key, "run", "value", (F.col("place") - F.col("start") + 1).cast("long").alias("length"))
 
 
 def sequence_costs(rows: DataFrame, key: list[str], order: list[str], value: str, width: int) -> DataFrame:

@@ -210,7 +210,7 @@ def run_lengths(spark: SparkSession, d: str) -> DataFrame:
 )
 def same_as_previous(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("block_id").orderBy(*ORDER)
-    rows = X.candidates(spark, d).withColumn("same", F.lag("predictor").over(w) == F.col("predictor"))
+    rows = dataset.by_key(X.candidates(spark, d).select("block_id", *ORDER, "predictor"), ["block_id"]).withColumn("same", F.lag("predictor").over(w) == F.col("predictor"))
     return rows.groupBy("block_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("same"))
 
 
