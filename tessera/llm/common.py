@@ -92,6 +92,7 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    give_back()  # what the driver's Python held to plan it
     _published.append(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -11,7 +11,8 @@ themselves are read only in blocks that the bound does not rule out for a k-th n
 weighted by distance; a logistic curve fitted to leave-one-out votes calibrates the score. The
 nearest example is given as evidence.
 
-Everything sent to executors is bounded by `examples` documents and `most_words` distinct words in
+One task makes the index of the published examples; only its bytes pass through the driver, on their
+way to a broadcast. Everything sent to executors is bounded by `examples` documents and `most_words` distinct words in
 them altogether; the sample is taken in the order of a hash of the id. Words are compared
 without case and punctuation; whole texts are read. labels, lang, source and doc_id are no input.
 
@@ -25,12 +26,14 @@ go to the smaller example; other columns are ignored.
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,7 @@ TOGETHER = 64  # documents searched at a time
 POSTINGS = 1 << 20  # postings read at a time
 KEPT = 200_000  # scores of texts that a task remembers
 PACKED = 1024  # document frequencies in a row
+PIECE = 1 << 20  # bytes of the index in a row
 
 
 @common.releasing
@@ -270,10 +274,11 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"at": pa.array(df, pa.int32()), "df": pa.array([d.tobytes() for d in df.values()], pa.binary()), "n": pa.array(n.values(), pa.int64())})
 
 
-def scored(index: Index, threshold: float):
+def scored(model: Index | Broadcast, threshold: float):
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = model.value if isinstance(model, Broadcast) else model
         look, width = Lookup(index.terms), max(1, len(index.terms))
         seen: dict[bytes, tuple[float, int | None]] = {}
         for batch in batches:
@@ -296,30 +301,87 @@ def scored(index: Index, threshold: float):
     return common.releasing(run)
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: int = WORDS) -> Index:
-    """docs(doc_id, text), labels(doc_id, toxic); only rows whose crc32(doc_id as text) mod 3 is not 1 teach."""
+class Pickled:
+    """Bytes that unpickle as what they hold."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+
+    def __reduce__(self) -> tuple:
+        return pickle.loads, (self.raw,)
+
+
+def examples_of(batches: Iterator[pa.RecordBatch], most_words: int) -> list[tuple]:
+    """(doc_id, toxic, words, counts) of the examples, in the order of their ids, while they hold most_words at most."""
+    all_rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+    rows, held = [], 0
+    for _, doc, toxic, w, c in sorted(all_rows, key=lambda r: r[:3]):
+        held += len(w) // 8
+        if held > most_words:
+            break
+        rows.append((doc, toxic, np.frombuffer(w, dtype=U), np.frombuffer(zlib.decompress(c), dtype=np.int32)))
+    return sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes()))
+
+
+def evidence_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The examples' distinct words and each one's evidence; none where a label is missing."""
+    p = sum(r[1] for r in rows)
+    n = len(rows) - p
+    if not p or not n:
+        return np.zeros(0, U), np.zeros(0)
+    vocab, both = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+    pos, a = np.unique(np.concatenate([r[2] for r in rows if r[1]]), return_counts=True)
+    of = np.zeros(len(vocab))
+    of[np.searchsorted(vocab, pos)] = a
+    return vocab, likelihood_ratio(of, both - of, p, n)
+
+
+def in_pieces(raw: bytes) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(raw), PIECE):
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([raw[i : i + PIECE]], pa.binary())})
+
+
+def vocabulary(most_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from in_pieces(evidence_of(examples_of(batches, most_words))[0].tobytes())
+
+    return common.releasing(run)
+
+
+def built(vocab: np.ndarray, df: np.ndarray, total: int, k: int, most_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = examples_of(batches, most_words)
+        weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + evidence_of(rows)[1])
+        # Where there is no vocabulary, nothing is learnt and no example keeps a word.
+        vectors = [(np.searchsorted(vocab, w).astype(np.int32), c) if len(vocab) else (np.zeros(0, np.int32), c[:0]) for _, _, w, c in rows]
+        ids, labels = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float)
+        del rows
+        index = Index(vocab, weight, ids, labels, vectors, k)
+        if len(vocab):
+            index.calibrate()
+        index.vectors = []
+        yield from in_pieces(pickle.dumps(index, protocol=5))
+
+    return common.releasing(run)
+
+
+def gathered(rows: DataFrame, run) -> bytes:
+    """What one task makes of the examples, as bytes."""
+    pieces = [bytes(r["piece"]) for r in rows.coalesce(1).mapInArrow(run, "piece binary").toLocalIterator()]
+    return b"".join(pieces or [p for batch in run(iter([])) for p in batch.column(0).to_pylist()])  # no task where there is no example
+
+
+def fitted(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: int = WORDS) -> bytes:
+    """The pickled index, made in a task. docs(doc_id, text), labels(doc_id, toxic); only rows whose crc32(doc_id as text) mod 3 is not 1 teach."""
     teach = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     teach = teach.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     chosen = teach.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(examples)
     sample = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "toxic", "text")  # broadcast: `examples` rows of two numbers
     found = sample.mapInArrow(presence, "doc_id long, toxic int, words binary, counts binary")
     found = found.groupBy("toxic", "words", "counts").agg(F.min("doc_id").alias("doc_id"))  # copies of an example would count twice
-    rows, held = [], 0
-    for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(examples).toLocalIterator():
-        held += len(r["words"]) // 8
-        if held > most_words:
-            break
-        rows.append((r["doc_id"], r["toxic"], np.frombuffer(r["words"], dtype=U), np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32)))
-    rows.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
-    labels_ = np.array([r[1] for r in rows], dtype=float)
-    p, n = int(labels_.sum()), int(len(rows) - labels_.sum())
-    vocab, evidence = np.zeros(0, U), np.zeros(0)
-    if p and n:
-        vocab, both = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
-        pos, a = np.unique(np.concatenate([r[2] for r in rows if r[1]]), return_counts=True)
-        of = np.zeros(len(vocab))
-        of[np.searchsorted(vocab, pos)] = a
-        evidence = likelihood_ratio(of, both - of, p, n)
+    found = found.withColumn("h", F.xxhash64("doc_id")).select("h", "doc_id", "toxic", "words", "counts")
+    rows = common.publish(found.orderBy("h", "doc_id", "toxic").limit(examples), "examples")
+    vocab = np.frombuffer(gathered(rows, vocabulary(most_words)), U)
     df, total = np.zeros(len(vocab), np.int64), 0
     schema = "at int, df binary, n long"
     if len(vocab):
@@ -327,31 +389,32 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: i
         for r in counts.repartition(common.partitions(docs.sparkSession), "at").mapInArrow(added, schema).collect():  # 8 bytes a term
             df[r["at"] : r["at"] + PACKED] = np.frombuffer(r["df"], np.int64)
             total += r["n"]
-    weight = (np.log((1 + total) / (1 + df)) + 1) * (1 + evidence)
-    # Where there is no vocabulary, nothing is learnt and no example keeps a word.
-    vectors = [(np.searchsorted(vocab, w).astype(np.int32), c) if len(vocab) else (np.zeros(0, np.int32), c[:0]) for _, _, w, c in rows]
-    ids = [r[0] for r in rows]
-    del rows
-    index = Index(vocab, weight, ids, labels_, vectors, k)
-    if p and n:
-        index.calibrate()
-    index.vectors = []
+    raw = gathered(rows, built(vocab, df, total, k, most_words))
     common.give_back()
-    return index
+    return raw
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int, k: int, most_words: int = WORDS) -> Index:
+    return pickle.loads(fitted(docs, labels, examples, k, most_words))
+
+
+def sent(spark: SparkSession, raw: bytes) -> Broadcast:
+    """The index for executors; the driver keeps neither it nor its bytes."""
+    return spark.sparkContext.broadcast(Pickled(raw))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """A row a document: doc_id, held_out, score, predicted and the nearest example's id (null: none)."""
     docs = common.documents(docs)
-    index = fit(docs, labels, examples, k)
-    out = docs.mapInArrow(scored(index, threshold), "doc_id long, score double, predicted int, nearest long")
+    model = sent(docs.sparkSession, fitted(docs, labels, examples, k))
+    out = docs.mapInArrow(scored(model, threshold), "doc_id long, score double, predicted int, nearest long")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
     return out.select("doc_id", held.alias("held_out"), "score", "predicted", "nearest")
 
 
-def filtered(index: Index, threshold: float, doc: int, text: int):
+def filtered(model: Index | Broadcast, threshold: float, doc: int, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scored(index, threshold)
+        score = scored(model, threshold)
         for batch in batches:
             narrow = pa.RecordBatch.from_arrays([batch.column(doc), batch.column(text)], names=["doc_id", "text"])
             toxic = [x for b in score(iter([narrow])) for x in b.column(2).to_pylist()]
@@ -362,8 +425,8 @@ def filtered(index: Index, threshold: float, doc: int, text: int):
 
 def without_toxic(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of the documents that the operator does not reject; one scan after fitting, no shuffle of texts."""
-    index = fit(common.documents(docs), labels, examples, k)
-    return docs.mapInArrow(filtered(index, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
+    model = sent(docs.sparkSession, fitted(common.documents(docs), labels, examples, k))
+    return docs.mapInArrow(filtered(model, threshold, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
